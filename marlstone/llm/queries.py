@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import history
+from marlstone.llm import history, leaks, subjects
 from marlstone.llm.near_duplicates import Duplicates, Likeness, groups, near_duplicates, record_pairs
 from marlstone.session import table
 
@@ -51,11 +51,40 @@ def p5_by_batch(spark: SparkSession, d: str) -> DataFrame:
     return _known(spark, d)
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that holds a passage of an item, word for word or with substitutions, and where."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least 12 consecutive words of an item."""
+    return p6_leaks(spark, d).where(F.col("longest_run") >= leaks.SPAN).select("doc_id", "item_id").distinct()
+
+
+def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of every document, with the sentences about them."""
+    return subjects.subject_shares(table(spark, d, "documents"), table(spark, d, "subject_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus by subject."""
+    return subjects.composition(table(spark, d, "documents"), p8_subjects(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p5_by_batch": p5_by_batch,
+    "p6_leaks": p6_leaks,
+    "p6_found": p6_found,
+    "p8_subjects": p8_subjects,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 SQL: dict[str, str] = {}
