@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import history, leaks, subjects
+from marlstone.llm import history, leaks, mixing, pairs_quality, sampling, splitting, subjects
 from marlstone.llm.near_duplicates import Duplicates, Likeness, groups, near_duplicates, record_pairs
 from marlstone.session import table
 
@@ -16,6 +16,48 @@ QUESTIONS = Likeness("bag", 0.7, half=10, rows=3)
 PAPERS = Likeness("shingles", 0.5, half=14, rows=2)
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    limits = {r["field"]: r for r in table(spark, d, "split_limits").collect()}  # a row per field
+    out = None
+    for name, key in (("latex_text.full_text", "text_row"), ("qa_pairs.context", "qa_id")):
+        if name not in limits:
+            continue
+        source, column = name.split(".")
+        part = splitting.split_texts(table(spark, d, source), key, column, limits[name]["max_chars"], limits[name]["overlap_chars"]).select(F.lit(name).alias("field"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p1_split(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered pieces of every text."""
+    return _pieces(spark, d)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that had to be split, and those with a stretch that has no boundary."""
+    first = _pieces(spark, d).where("piece_no = 0 and over_limit")
+    return first.select("field", "row_key", F.explode(F.when(F.col("no_boundary"), F.array(F.lit("over_limit"), F.lit("no_boundary"))).otherwise(F.array(F.lit("over_limit")))).alias("case_kind")).distinct()
+
+
+def _sample(spark: SparkSession, d: str) -> sampling.ProportionalSample:
+    return sampling.ProportionalSample(table(spark, d, "qa_pairs"), table(spark, d, "sample_targets"))
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sample."""
+    return _sample(spark, d).rows()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every target category with what it has, what was wanted and what was drawn."""
+    return _sample(spark, d).report()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Categories whose share or minimum can't be met."""
+    return _sample(spark, d).missed()
+
+
 def _near(spark: SparkSession, d: str) -> list[tuple[str, Duplicates]]:
     return [
         ("qa_pairs.question", near_duplicates(table(spark, d, "qa_pairs"), "qa_id", "question", QUESTIONS)),
@@ -35,6 +77,11 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs with their defect."""
+    return pairs_quality.defective_pairs(table(spark, d, "qa_pairs"))
+
+
 def _known(spark: SparkSession, d: str) -> DataFrame:
     papers = history.known_ids(table(spark, d, "papers"), "id", "paper_row", "batch_no")
     questions = history.replay(table(spark, d, "qa_pairs"), "qa_id", "question", "batch_no", QUESTIONS)
@@ -61,6 +108,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_leaks(spark, d).where(F.col("longest_run") >= leaks.SPAN).select("doc_id", "item_id").distinct()
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed documents, shuffled."""
+    return _mixture(spark, d).rows()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source reached."""
+    return _mixture(spark, d).report()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that fall short of their share."""
+    return _mixture(spark, d).report().where("falls_short").select("source")
+
+
 def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
     """The subjects of every document, with the sentences about them."""
     return subjects.subject_shares(table(spark, d, "documents"), table(spark, d, "subject_labels"))
@@ -76,12 +142,21 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_split": p1_split,
+    "p1_found": p1_found,
+    "p2_sample": p2_sample,
+    "p2_report": p2_report,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_by_batch": p5_by_batch,
     "p6_leaks": p6_leaks,
     "p6_found": p6_found,
+    "p7_mixture": p7_mixture,
+    "p7_report": p7_report,
+    "p7_found": p7_found,
     "p8_subjects": p8_subjects,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
