@@ -132,12 +132,14 @@ def _matcher(like: Likeness):
         maps = np.frombuffer(b"".join(tab["map"].to_pylist()), np.uint64).reshape(len(unit), 4)
         order = np.lexsort((n, unit))
         unit, key, role, n, maps = unit[order], key[order], role[order], n[order].astype(np.int32), maps[order]
-        first = np.ascontiguousarray(maps[:, 0])
+        first, second = np.ascontiguousarray(maps[:, 0]), np.ascontiguousarray(maps[:, 1])
         end, found = units.runs_of(unit), []
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
             ok = (role[x] == 0) | (role[x] != role[y])
             x, y = x[ok], y[ok]
+            ok = n[y] * t <= n[x] + 1e-9
+            x, y = x[ok], y[ok]
             ok = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int32) <= _bound(n[x], n[y], t)
             u, v = key[x[ok]], key[y[ok]]
             if len(u):
@@ -152,9 +154,12 @@ def _matcher(like: Likeness):
                 j = min(i + 256, e)
                 # sizes ascend: partners of the block's largest set end where n exceeds n_max / t
                 stop = int(s + np.searchsorted(n[s:e], np.floor(n[j - 1] / t + 1e-9), side="right"))
+                # one bound per partner, that of the block's largest set: whole bytes, no floats per pair
+                most = np.minimum(_bound(n[j - 1], n[i:stop], t), 255).astype(np.uint8)
                 differ = np.bitwise_count(first[i:j, None] ^ first[None, i:stop])
-                most = _bound(n[i:j, None], n[None, i:stop], t)
-                x, y = np.nonzero((differ <= most) & (n[None, i:stop] * t <= n[i:j, None] + 1e-9))
+                differ += np.bitwise_count(second[i:j, None] ^ second[None, i:stop])
+                hit = np.flatnonzero((differ <= most).ravel())
+                x, y = np.divmod(hit, stop - i)
                 x, y = x + i, y + i
                 up = x < y
                 if up.any():
