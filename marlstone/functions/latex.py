@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What starts an appendix.
 APPENDIX = (r"\\appendix", r"\\section\{Appendix\}", r"\\section\{Appendices\}", r"\\section\{\s*A\s+.*?\}", r"\\section\{.*?Appendix.*?\}", r"\\begin\{appendix\}", r"\\part\{Appendix\}")
@@ -74,13 +75,13 @@ def _strip(text: str | None, keep_ends: bool) -> str | None:
     return ("" if keep_ends else "\n").join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_comments(s: pd.Series) -> pd.Series:
     """The state machine over lines that keep their ends. Arrow batches; linear in the text."""
     return s.map(lambda t: _strip(t, True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_comments_text(s: pd.Series) -> pd.Series:
     """The state machine over lines joined again by line feeds."""
     return s.map(lambda t: _strip(t, False))

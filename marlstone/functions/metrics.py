@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions import text
 
@@ -148,7 +149,7 @@ def _rouge(ref: str | None, hyp: str | None) -> float:
     return 2 * row[-1] / (len(a) + len(b)) if row[-1] else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """ROUGE-L F-measure of Porter stems."""
     return pd.Series([_rouge(a, b) for a, b in zip(ref, hyp)], dtype="float64")

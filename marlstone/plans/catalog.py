@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from marlstone.plans import filters, scans
+
+_MODULES: tuple = (scans, filters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
