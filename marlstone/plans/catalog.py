@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import filters, scans
+from marlstone.plans import aggregates, filters, joins, scans
 
-_MODULES: tuple = (scans, filters)
+_MODULES: tuple = (scans, filters, joins, aggregates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
