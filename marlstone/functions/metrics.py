@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,29 +28,45 @@ def tokens(c: Column) -> Column:
     return text.words(text.normalized(c))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it; higher-order functions would repeat it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_f1(ref: Column, hyp: Column) -> Column:
     """F1 over the sets of words; 1 if both are empty, 0 if one is."""
-    r, h = F.array_distinct(tokens(ref)), F.array_distinct(tokens(hyp))
-    both = F.size(F.array_intersect(r, h))
-    return F.when((F.size(r) == 0) & (F.size(h) == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * both / (F.size(r) + F.size(h)))
+
+    def f1(t: Column) -> Column:
+        r, h, both = t["r"], t["h"], F.size(F.array_intersect(t["r"], t["h"]))
+        return F.when((F.size(r) == 0) & (F.size(h) == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * both / (F.size(r) + F.size(h)))
+
+    return let(F.struct(F.array_distinct(tokens(ref)).alias("r"), F.array_distinct(tokens(hyp)).alias("h")), f1)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Longest common subsequence of two arrays: rows of the dynamic programme folded over ``a``.
 
-    Costs the product of the lengths: meant for answers, not for documents.
+    Costs the product of the lengths: meant for answers, not for documents. The arrays
+    should be cheap to evaluate (columns, or bound by ``let``).
     """
 
     def row(prev: Column, x: Column) -> Column:
         # prev[j]: best for the first j elements of b; the new row grows from the left
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.lit(0)),
-            lambda cur, j: F.concat(cur, F.array(F.when(F.element_at(b, j) == x, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, -1))))),
-        )
+        steps = F.arrays_zip(b.alias("y"), F.slice(prev, 1, F.size(b)).alias("diagonal"), F.slice(prev, 2, F.size(b)).alias("above"))
+        return F.aggregate(steps, F.array(F.lit(0)), lambda cur, s: F.concat(cur, F.array(F.when(s["y"] == x, s["diagonal"] + 1).otherwise(F.greatest(s["above"], F.element_at(cur, -1))))))
 
-    start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: F.lit(0))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+    table = F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+
+    # up to 62 elements of b are the bits of one number, and a row is a few integer operations (Hyyro 2004)
+    one = F.lit(1).cast("bigint")
+    full = F.call_function("shiftleft", one, F.size(b)) - one
+
+    def bits(v: Column, x: Column) -> Column:
+        where = F.aggregate(F.transform(b, lambda y, i: F.when(y == x, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda p, q: p.bitwiseOR(q))
+        return let(v.bitwiseAND(where), lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(full))
+
+    short = F.size(b) - F.bit_count(F.aggregate(a, full, bits))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.size(b) <= 62, short).otherwise(table)
 
 
 def rouge_tokens(c: Column) -> Column:
@@ -58,9 +75,11 @@ def rouge_tokens(c: Column) -> Column:
 
 def rouge_l_plain(ref: Column, hyp: Column) -> Column:
     """ROUGE-L F-measure without stemming."""
-    r, h = rouge_tokens(ref), rouge_tokens(hyp)
-    n = lcs_length(r, h)
-    return F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(r) + F.size(h)))
+
+    def score(t: Column) -> Column:
+        return let(lcs_length(t["r"], t["h"]), lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(t["r"]) + F.size(t["h"]))))
+
+    return let(F.struct(rouge_tokens(ref).alias("r"), rouge_tokens(hyp).alias("h")), score)
 
 
 _VOWEL = "aeiou"
@@ -159,20 +178,28 @@ def _grams(t: Column, n: int) -> Column:
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), "\x02"))).otherwise(F.array().cast("array<string>"))
 
 
+def _clipped(rg: Column, hg: Column) -> Column:
+    return F.aggregate(F.array_distinct(F.array_intersect(hg, rg)), F.lit(0), lambda acc, g: acc + F.least(F.size(F.filter(hg, lambda x: x == g)), F.size(F.filter(rg, lambda x: x == g))))
+
+
 def bleu(ref: Column, hyp: Column) -> Column:
     """Sentence BLEU of up to 4-grams; n-grams without a match count as EPSILON, no word in common gives 0."""
-    r, h = tokens(ref), tokens(hyp)
-    logs, unigrams = [], None
-    for n, weight in enumerate(BLEU_WEIGHTS, 1):
-        rg, hg = _grams(r, n), _grams(h, n)
-        clipped = F.aggregate(
-            F.array_distinct(hg), F.lit(0), lambda acc, g: acc + F.least(F.size(F.filter(hg, lambda x: x == g)), F.size(F.filter(rg, lambda x: x == g)))
-        )
-        unigrams = clipped if n == 1 else unigrams
-        precision = F.when(clipped == 0, F.lit(EPSILON)).otherwise(clipped.cast("double")) / F.greatest(F.size(hg), F.lit(1))
-        logs.append(weight * F.log(precision))
-    brevity = F.when(F.size(h) > F.size(r), 0.0).otherwise(1 - F.size(r) / F.greatest(F.size(h), F.lit(1)))
-    return F.when(unigrams == 0, 0.0).otherwise(F.exp(brevity + sum(logs[1:], logs[0])))
+
+    def weighted(t: Column, n: int, weight: float) -> Column:
+        def log_precision(g: Column) -> Column:
+            return let(_clipped(g["r"], g["h"]), lambda c: weight * F.log(F.when(c == 0, F.lit(EPSILON)).otherwise(c.cast("double")) / F.greatest(F.size(g["h"]), F.lit(1))))
+
+        return let(F.struct(_grams(t["r"], n).alias("r"), _grams(t["h"], n).alias("h")), log_precision)
+
+    def score(t: Column) -> Column:
+        r, h = t["r"], t["h"]
+        brevity = F.when(F.size(h) > F.size(r), 0.0).otherwise(1 - F.size(r) / F.greatest(F.size(h), F.lit(1)))
+        total = brevity
+        for n, weight in enumerate(BLEU_WEIGHTS, 1):
+            total = total + weighted(t, n, weight)
+        return F.when(F.arrays_overlap(r, h), F.exp(total)).otherwise(0.0)
+
+    return let(F.struct(tokens(ref).alias("r"), tokens(hyp).alias("h")), score)
 
 
 def binary_correct(em: Column, rouge: Column, bleu_: Column) -> Column:
