@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import aggregates, filters, joins, scans
+from marlstone.plans import aggregates, filters, joins, scans, texts
 
-_MODULES: tuple = (scans, filters, joins, aggregates)
+_MODULES: tuple = (scans, filters, joins, aggregates, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
