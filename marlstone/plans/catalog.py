@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import aggregates, filters, joins, scans, texts
+from marlstone.plans import aggregates, filters, joins, scans, stages, texts
 
-_MODULES: tuple = (scans, filters, joins, aggregates, texts)
+_MODULES: tuple = (scans, filters, joins, aggregates, texts, stages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -155,5 +155,14 @@ def append_overwrite(spark, d):
     return spark.read.schema(q.schema).parquet(path).groupBy("paper_id").agg(F.count("*").alias("n"), F.max(F.length("context")).alias("longest"))
 
 
+@query()
+def archive_members(spark, d):
+    """Texts packed into archives and unpacked again."""
+    t = table(spark, d, "latex_text").where("full_text is not null")
+    path = new_table_path(spark, "archives")
+    files.pack(t.select(F.concat(F.col("text_row").cast("string"), F.lit("/main.tex")).alias("member"), F.col("full_text").alias("content")), path)
+    return files.archive_members(spark, path).select("member", F.md5("content").alias("digest"))
+
+
 QUERIES, SQL = query.queries, query.sql
 

@@ -101,6 +101,31 @@ def unpack(data: bytes) -> Iterator[tuple[str, str]]:
         return
 
 
+def pack(members: DataFrame, path: str, archives: int = 8) -> None:
+    """Write (member, content) rows as gzipped tar archives, one a partition, to a folder all tasks share."""
+    folder = path.removeprefix("file://")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+        from pathlib import Path
+
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        name, n = f"{folder}/.{uuid.uuid4().hex}", 0
+        with tarfile.open(name, "w:gz") as t:
+            for f in frames:
+                for member, content in zip(f["member"], f["content"]):
+                    data = content.encode()
+                    info = tarfile.TarInfo(member)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+                    n += 1
+        # the name comes from the first member, so that a repeated task replaces its archive
+        Path(name).rename(f"{folder}/{uuid.uuid5(uuid.NAMESPACE_URL, member).hex}.tar.gz") if n else Path(name).unlink()
+        yield pd.DataFrame({"n": [n]})
+
+    members.select("member", "content").repartition(archives, "member").sortWithinPartitions("member").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()  # one row
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, member, content) of all archives under a path, unpacked where they are read."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
