@@ -31,7 +31,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     if not _LOCAL:
@@ -63,6 +63,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches sent to Python workers where texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -85,7 +85,7 @@ def unpack(data: bytes) -> Iterator[tuple[str, str]]:
                 if m.isfile():
                     yield m.name, text(t.extractfile(m).read())
             return
-    except tarfile.TarError:
+    except (tarfile.TarError, EOFError, OSError):
         pass
     try:
         if data[:2] == b"\x1f\x8b":
