@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import units, words
@@ -223,49 +223,52 @@ class History:
     """An index of accepted records in the shared folder, grown batch by batch.
 
     ``add`` reads only the postings of the batch's own prefix tokens, returns the
-    records that are not new, and appends the postings of texts not yet indexed.
-    The token order is frozen when the index is made, from ``sample`` (any rows,
-    e.g. the first batch); records are never reordered.
+    records that are not new, and writes the postings of texts not yet indexed under
+    the batch's number. A batch added again replaces itself, so a repeated job changes
+    nothing; batches must be added in ascending order. The token order is frozen when
+    the index is made, from ``sample`` (any rows, e.g. the first batch).
     """
 
-    def __init__(self, spark: SparkSession, path: str, like: Likeness, sample: DataFrame, key: str, text: str):
+    def __init__(self, spark: SparkSession, path: str, like: Likeness, key: str, text: str, sample: DataFrame | None = None):
+        """Make an index from ``sample``, or open the one at ``path`` if there is no sample."""
         self.spark, self.path, self.like, self.key, self.text = spark, path, like, key, text
-        self.order = frequent_tokens(sample, key, text, like)
-        self.empty = True
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.createDataFrame([], schema) if self.empty else self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def add(self, batch: DataFrame) -> DataFrame:
+        if sample is not None:
+            tokens, counts = frequent_tokens(sample, key, text, like)
+            rows = [(int(t), int(n)) for t, n in zip(tokens.view(np.int64), counts)]  # at most MOST_FREQUENT
+            spark.createDataFrame(rows, "token bigint, n bigint").write.mode("overwrite").parquet(f"{path}/order")
+        kept = spark.read.schema("token bigint, n bigint").parquet(f"{path}/order").toPandas()
+        tokens = kept["token"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(tokens)
+        self.order = tokens[order], kept["n"].to_numpy(np.int64)[order]
+
+    def _before(self, name: str, schema: str, number: int) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.schema(schema + ", batch int").parquet(f"{self.path}/{name}").where(F.col("batch") < number)
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema + ", batch int")
+
+    def add(self, batch: DataFrame, number: int) -> DataFrame:
         """(record_key, other): the batch's records that are near to an accepted one, with one such record; then accept the batch."""
         like = self.like
         made = _prepared(batch, self.key, self.text).mapInArrow(_indexer(like, *self.order), SETS).dropDuplicates(["key"])
-        sets = materialise(made.withColumn("id", F.min("key").over(_by("fp1", "fp2"))), "batch-sets")
+        sets = materialise(made.withColumn("id", F.min("key").over(Window.partitionBy("fp1", "fp2"))), "batch-sets")
         classes = sets.where("key = id")
-        old_sets = self._read("sets", "id bigint, fp1 bigint, fp2 bigint, elements array<int>")
+        old_sets = self._before("sets", "id bigint, fp1 bigint, fp2 bigint, elements array<int>", number)
         same = classes.join(old_sets.select("fp1", "fp2", F.col("id").alias("other")), ["fp1", "fp2"]).select("id", "other")
-        new_postings = classes.select(F.explode("prefix").alias("unit"), "id", "n", "map").withColumn("part", F.pmod("unit", F.lit(PARTS)).cast("int"))
-        old = self._read("postings", "unit bigint, id bigint, n int, map binary, part int").join(new_postings.select("unit", "part").distinct(), ["unit", "part"], "left_semi")
+        part = F.pmod("unit", F.lit(PARTS)).cast("int")
+        new_postings = classes.select(F.explode("prefix").alias("unit"), "id", "n", "map").withColumn("part", part)
+        old = self._before("postings", "unit bigint, id bigint, n int, map binary, part int", number).join(new_postings.select("unit", "part").distinct(), ["unit", "part"], "left_semi")
         both = old.select("unit", "id", "n", "map", F.lit(1).alias("side")).unionByName(new_postings.select("unit", "id", "n", "map", F.lit(2).alias("side")))
-        crossed = units.split_hot(materialise(both, "probe"), HOT)
-        # a pair inside a block must still be of the two sides; across blocks either order occurs
-        pairs = units.each_unit(crossed.where("role = 0").withColumn("role", F.col("side")), _matcher(like), "a bigint, b bigint")
-        blocks = units.each_unit(crossed.where("role <> 0"), _matcher(like), "a bigint, b bigint")
-        found = pairs.union(blocks).distinct()
-        mine, theirs = classes.select("id", "elements"), old_sets.select("id", "elements")
+        # a pair inside a block must be of the two sides; blocks of a pair hold all pairs across
+        crossed = units.split_hot(materialise(both, "probe"), HOT).withColumn("role", F.when(F.col("role") == 0, F.col("side")).otherwise(F.col("role")))
+        found = units.each_unit(crossed, _matcher(like), "a bigint, b bigint").distinct()
         turned = found.union(found.select("b", "a")).toDF("a", "b")
-        near = _verified(turned, mine, theirs, like).toDF("id", "other")
+        near = _verified(turned, classes.select("id", "elements"), old_sets.select("id", "elements"), like).toDF("id", "other")
         hits = same.union(near).groupBy("id").agg(F.min("other").alias("other"))
         result = materialise(sets.select("key", "id").join(hits, "id").select(F.col("key").alias("record_key"), "other"), "known")
-        fresh = classes.join(same.select("id").distinct(), "id", "left_anti")
-        fresh = materialise(fresh, "fresh")
-        fresh.select("id", "fp1", "fp2", "elements").write.mode("append").parquet(f"{self.path}/sets")
-        fresh.select(F.explode("prefix").alias("unit"), "id", "n", "map").withColumn("part", F.pmod("unit", F.lit(PARTS)).cast("int")).repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/postings")
-        self.empty = False
+        fresh = materialise(classes.join(same.select("id").distinct(), "id", "left_anti"), "fresh")
+        fresh.select("id", "fp1", "fp2", "elements").write.mode("overwrite").parquet(f"{self.path}/sets/batch={number}")
+        fresh.select(F.explode("prefix").alias("unit"), "id", "n", "map").withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/batch={number}")
         return result
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)

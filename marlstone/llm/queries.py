@@ -162,4 +162,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_composition": p8_composition,
 }
 
-SQL: dict[str, str] = {}
+_LONG = """texts AS (SELECT DISTINCT 'latex_text.full_text' AS field, text_row AS row_key, full_text AS t FROM latex_text UNION SELECT DISTINCT 'qa_pairs.context', qa_id, context FROM qa_pairs),
+long AS (SELECT field, row_key, t, max_chars FROM texts JOIN split_limits USING (field) WHERE length(t) > max_chars)"""
+_SAMPLED = r"""recs AS (SELECT qa_id, min(lower(regexp_replace(category, '\s+', '', 'g'))) AS ckey FROM qa_pairs GROUP BY 1), n AS (SELECT CAST(ceil(count(*) / 4) AS BIGINT) AS size FROM recs),
+goal AS (SELECT category, lower(regexp_replace(category, '\s+', '', 'g')) AS ckey, target_permille, min_rows FROM sample_targets),
+ranked AS (SELECT qa_id, g.category, g.ckey, g.target_permille, g.min_rows, row_number() OVER (PARTITION BY g.ckey ORDER BY md5('1|' || qa_id), qa_id) AS rank FROM recs JOIN goal g USING (ckey)),
+drawn AS (SELECT * FROM ranked ORDER BY rank > min_rows, (rank - 0.5) / target_permille, ckey LIMIT (SELECT size FROM n)),
+report AS (SELECT g.category, (SELECT count(*) FROM ranked r WHERE r.ckey = g.ckey) AS available, CAST(ceil(g.target_permille * n.size / 1000) AS BIGINT) AS wanted, CAST(g.min_rows AS BIGINT) AS minimum, (SELECT count(*) FROM drawn r WHERE r.ckey = g.ckey) AS drawn FROM goal g, n)"""
+_QUESTIONS = """q AS (SELECT DISTINCT qa_id, question FROM qa_pairs WHERE question IS NOT NULL), w AS (SELECT qa_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS x FROM q),
+bag AS (SELECT qa_id, x, count(*) AS c FROM w GROUP BY 1, 2), size AS (SELECT qa_id, sum(c) AS n FROM bag GROUP BY 1),
+both_ AS (SELECT a.qa_id AS key_a, b.qa_id AS key_b, sum(least(a.c, b.c)) AS s FROM bag a JOIN bag b ON a.x = b.x AND a.qa_id < b.qa_id GROUP BY 1, 2),
+near AS (SELECT key_a, key_b FROM both_ JOIN size sa ON sa.qa_id = key_a JOIN size sb ON sb.qa_id = key_b WHERE s >= 0.7 * (sa.n + sb.n - s))"""
+_TEXTS = """t AS (SELECT text_row, regexp_extract_all(lower(full_text), '[a-z0-9]+') AS w FROM latex_text WHERE full_text IS NOT NULL),
+sh AS (SELECT DISTINCT text_row, array_to_string(w[i:i+4], ' ') AS x FROM t, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)), ts AS (SELECT text_row, count(*) AS n FROM sh GROUP BY 1),
+tb AS (SELECT a.text_row AS key_a, b.text_row AS key_b, count(*) AS s FROM sh a JOIN sh b ON a.x = b.x AND a.text_row < b.text_row GROUP BY 1, 2),
+tnear AS (SELECT key_a, key_b FROM tb JOIN ts sa ON sa.text_row = key_a JOIN ts sb ON sb.text_row = key_b WHERE s >= 0.5 * (sa.n + sb.n - s))"""
+_PAPER = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(id, '\s+', '', 'g')), '([?#].*)?$', ''), '(\.pdf)?/*$', ''), '^[a-z]+://.*/', ''), '^(arxiv|doi|id)[:/]', ''), 'v[0-9]+$', '')"""
+_KNOWN = f"""{_QUESTIONS}, first AS (SELECT qa_id, min(batch_no) AS b FROM qa_pairs WHERE batch_no IS NOT NULL GROUP BY 1),
+links AS (SELECT key_a AS x, key_b AS y FROM near UNION ALL SELECT key_b, key_a FROM near), p AS (SELECT paper_row, batch_no, {_PAPER} AS k FROM papers WHERE id IS NOT NULL AND batch_no IS NOT NULL),
+pf AS (SELECT k, min(batch_no) AS f FROM p WHERE k <> '' GROUP BY 1),
+known AS (SELECT 'papers' AS table_name, paper_row AS record_key, batch_no, f AS first_batch FROM p JOIN pf USING (k) WHERE batch_no > f
+UNION ALL SELECT 'qa_pairs', x, a.b, min(o.b) FROM links JOIN first a ON a.qa_id = x JOIN first o ON o.qa_id = y GROUP BY x, a.b HAVING a.b > min(o.b))"""
+_RUN = """dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM dw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
+iw AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM iw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i))"""
+
+SQL: dict[str, str] = {
+    "p1_found": rf"""WITH {_LONG} SELECT field, row_key, 'over_limit' AS case_kind FROM long UNION ALL SELECT field, row_key, 'no_boundary' FROM long WHERE list_max(list_transform(string_split_regex(t, '[ \t\n\r]'), lambda x: length(x))) > max_chars""",
+    "p2_found": f"WITH {_SAMPLED} SELECT category, 'share' AS missed FROM report WHERE available < wanted UNION ALL SELECT category, 'minimum' FROM report WHERE available < minimum",
+    "p2_report": f"WITH {_SAMPLED} SELECT category, available, wanted, minimum, drawn, available < wanted AS missed_share, available < minimum AS missed_minimum FROM report",
+    "p2_sample": f"WITH {_SAMPLED} SELECT qa_id AS record_key, category, rank, round((rank - 0.5) / target_permille, 6) AS priority FROM drawn",
+    "p3_found": f"WITH {_QUESTIONS}, {_TEXTS} SELECT 'qa_pairs.question' AS field, key_a, key_b FROM near UNION ALL SELECT 'latex_text.full_text', key_a, key_b FROM tnear",
+    "p5_found": f"WITH {_KNOWN} SELECT DISTINCT table_name, record_key FROM known",
+    "p5_by_batch": f"WITH {_KNOWN} SELECT * FROM known",
+    "p6_found": f"WITH {_RUN} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    # any size that grows with the tokens tells the same sources: characters stand in for tokens
+    "p7_found": """WITH s AS (SELECT lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) AS k, sum(length(text)) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS n FROM s) SELECT m.source FROM mix_targets m LEFT JOIN s ON s.k = lower(trim(m.source)), t WHERE m.max_repeats * coalesce(s.n, 0) < m.target_share * t.n""",
+}

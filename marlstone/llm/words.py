@@ -95,21 +95,6 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, offsets of each text's words, and each word's byte span within its own text."""
-    hashes, counts, firsts, lasts = [], [], [], []
-    for _, _, at, raw in chunks(texts):
-        h, c, first, last = _words_of(at, raw)
-        base = np.repeat(at[:-1], c)
-        hashes.append(h)
-        counts.append(c)
-        firsts.append(first - base)
-        lasts.append(last - base)
-    cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    sizes = cat(counts, np.int64)
-    return cat(hashes, np.uint64), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), cat(firsts, np.int64), cat(lasts, np.int64)
-
-
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """The row of every element of a ragged column."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
