@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import text
+from marlstone.functions.text import let
 
 #: Weights of 1- to 4-grams, and what a zero count of matches becomes.
 BLEU_WEIGHTS = (0.5, 0.3, 0.15, 0.05)
@@ -28,11 +28,6 @@ def tokens(c: Column) -> Column:
     return text.words(text.normalized(c))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it; higher-order functions would repeat it per element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def token_f1(ref: Column, hyp: Column) -> Column:
     """F1 over the sets of words; 1 if both are empty, 0 if one is."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,28 +113,37 @@ def final_answer(c: Column) -> Column:
     return F.coalesce(*[F.nullif(trimmed(F.regexp_extract(c, p, 1)), F.lit("")) for p in FINAL_ANSWER], c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it; higher-order functions would repeat it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _locate(part: Column, c: Column) -> Column:
+    return F.call_function("locate", part, c)
+
+
+def _marker(i: Column) -> Column:
+    return F.concat(F.lit("blank"), i.cast("string"), F.lit(":"))
+
+
 def blanks(reply: Column, n: int | Column) -> Column:
     """Answers of ``blank1:`` .. ``blankN:`` in a reply, ``NO_ANSWER`` where the marker is missing.
 
-    An answer ends at the nearest later marker and is its first line. Markers are
-    looked for without regard to case.
+    An answer ends at the nearest marker of a later number and is its first line.
+    Markers are looked for without regard to case.
     """
-    low = F.lower(reply)
     count = F.lit(n) if isinstance(n, int) else n
 
-    def one(i: Column) -> Column:
-        marker = F.concat(F.lit("blank"), i.cast("string"), F.lit(":"))
-        at = F.call_function("locate", marker, low)
-        rest = trimmed(F.substring(reply, at + F.length(marker), F.length(reply)))
-        later = F.filter(
-            F.transform(F.filter(F.sequence(F.lit(1), count), lambda j: j > i), lambda j: F.call_function("locate", F.concat(F.lit("blank"), j.cast("string"), F.lit(":")), F.lower(rest))),
-            lambda p: p > 0,
-        )
+    def answer(rest: Column, i: Column) -> Column:
+        later = F.filter(F.transform(F.filter(F.sequence(F.lit(1), count), lambda j: j > i), lambda j: _locate(_marker(j), F.lower(rest))), lambda p: p > 0)
         end = F.coalesce(F.array_min(later) - 1, F.length(rest))
-        line = trimmed(F.split_part(trimmed(F.substring(rest, F.lit(1), end)), F.lit("\n"), F.lit(1)))
-        return F.when(at > 0, line).otherwise(F.lit("NO_ANSWER"))
+        return trimmed(F.split_part(trimmed(F.substring(rest, F.lit(1), end)), F.lit("\n"), F.lit(1)))
+
+    def one(t: Column, i: Column) -> Column:
+        rest = lambda at: trimmed(F.substring(t["reply"], at + F.length(_marker(i)), F.length(t["reply"])))
+        return let(_locate(_marker(i), t["low"]), lambda at: F.when(at > 0, let(rest(at), lambda r: answer(r, i))).otherwise(F.lit("NO_ANSWER")))
 
-    return F.transform(F.sequence(F.lit(1), count), one)
+    return let(F.struct(reply.alias("reply"), F.lower(reply).alias("low")), lambda t: F.transform(F.sequence(F.lit(1), count), lambda i: one(t, i)))
 
 
 def cloze_is_valid(question: Column, answers: Column, least: int, most: int) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import latex
 from marlstone.functions.dates import months_between
+from marlstone.session import materialise
 
 #: Names of main files, the best first, and extensions of other text files.
 MAIN_NAMES = ("main.tex", "paper.tex", "article.tex", "manuscript.tex")
@@ -160,15 +161,17 @@ def main_files(members: DataFrame, paper: str, order: str, path: str = "path", c
 def include_order(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
     """(root, path, place): files in the order of a depth-first walk along (source, target, position) includes.
 
-    A level is a join; a file already on the way is not entered again, and its first place counts.
+    A level is a join, written to the shared folder so that no level is worked out twice;
+    a file already on the way is not entered again, and its first place counts.
     """
     level = roots.select(F.col("root"), F.col("root").alias("path"), F.array(F.col("root")).alias("way"), F.array(F.lit(0)).alias("place"))
     out = level
     for _ in range(depth):
-        level = (
+        level = materialise(
             level.join(edges, F.col("path") == F.col("source"))
             .where(~F.array_contains("way", F.col("target")))
-            .select("root", F.col("target").alias("path"), F.concat("way", F.array("target")).alias("way"), F.concat("place", F.array("position")).alias("place"))
+            .select("root", F.col("target").alias("path"), F.concat("way", F.array("target")).alias("way"), F.concat("place", F.array("position")).alias("place")),
+            "includes",
         )
         if not level.take(1):
             break
