@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import materialise
+
 #: Tables up to this many rows may be broadcast as dimensions.
 DIMENSION_ROWS = 10_000
 
@@ -52,13 +54,31 @@ def with_responses(df: DataFrame, prompt: Column, responses: DataFrame) -> DataF
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "index") -> DataFrame:
-    """A running number from 1 within each group."""
+    """A running number from 1 within each group; for groups of bounded size."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def batches(df: DataFrame, by: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
+def numbered_wide(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "index") -> DataFrame:
+    """``numbered`` for groups of any size: a group is spread over range partitions, and each starts after those before it.
+
+    Written to the shared folder once, so that the partitions counted are those numbered.
+    Nulls are a group of their own and come first in the order; ``order`` must be unique
+    within a group for the numbers to be reproducible.
+    """
+    placed = materialise(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    # a row per group and partition
+    before = sizes.select(F.col("_part").alias("_p"), *[F.col(c).alias("_g_" + c) for c in by], (F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col("_g_" + c))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    return placed.join(before, same).withColumn(name, number).select(*df.columns, name)
+
+
+def batches(df: DataFrame, by: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
     """Fixed-size batches within each group, numbered from 0."""
-    return numbered(df, by, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    return numbered_wide(df, by, order, "_k").withColumn("batch", F.floor((F.col("_k") - 1) / size)).drop("_k")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:

@@ -181,7 +181,7 @@ def env_counter(spark, d):
 @query(f"WITH {THEOREMS} SELECT id, row_number() OVER (PARTITION BY paper_id ORDER BY id) AS number FROM th")
 def running_index(spark, d):
     """A number per statement that depends only on the paper and the order in it."""
-    return rows.numbered(base.theorems(spark, d), ["paper_id"], [F.col("id")], "number").select("id", "number")
+    return rows.numbered_wide(base.theorems(spark, d).select("id", "paper_id"), ["paper_id"], ["id"], "number").select("id", "number")
 
 
 @query("SELECT paper_row, id, batch_no FROM papers ORDER BY batch_no, paper_row LIMIT 50")
@@ -203,7 +203,7 @@ def quota_per_partition(spark, d):
 
 @query("SELECT paper_row, CAST(floor((row_number() OVER (PARTITION BY batch_no ORDER BY paper_row) - 1) / 10) AS BIGINT) AS batch FROM papers")
 def batch_assign(spark, d):
-    return rows.batches(table(spark, d, "papers"), ["batch_no"], [F.col("paper_row")], 10).select("paper_row", F.col("batch").cast("bigint").alias("batch"))
+    return rows.batches(table(spark, d, "papers").select("paper_row", "batch_no"), ["batch_no"], ["paper_row"], 10).select("paper_row", F.col("batch").cast("bigint").alias("batch"))
 
 
 @query("SELECT 'papers' AS origin, id FROM papers UNION ALL SELECT 'latex_text', id FROM latex_text")

@@ -17,6 +17,18 @@ def test_keep_first_counts_null_as_a_key(spark):
     assert sorted(map(tuple, rows.keep_first(df, ["k"], [F.col("n")]).collect()), key=str) == [("a", 3), (None, 1)]
 
 
+def test_wide_numbers_equal_plain_ones(spark):
+    """One group holds most rows and is spread over several partitions."""
+    df = spark.range(4000).select(F.when(F.col("id") % 9 == 0, F.col("id") % 5).when(F.col("id") % 7 > 0, F.lit(77)).alias("g"), F.xxhash64("id").alias("o"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows.numbered_wide(df, ["g"], ["o", "id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = rows.numbered(df, ["g"], [F.col("o"), F.col("id")]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_append_twice_changes_nothing(spark):
     old, new = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "old")], [(1, "new"), (2, "new")]))
     once = rows.append(old, new, ["k"])
