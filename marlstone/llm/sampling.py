@@ -19,8 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges per category: the largest window is about a category's rows over this.
-RANGES = 4096
+#: Rows that one range of a category has on average at most, while there are no more than MOST_RANGES.
+RANGE_ROWS, MOST_RANGES = 50_000, 1 << 20
 
 
 def category_key(c: Column) -> Column:
@@ -125,9 +125,10 @@ class ProportionalSample:
         draw = F.md5(F.concat(F.lit(self.seed + "|"), F.col("record_key").cast("string")))
         drawn = self.records.join(F.broadcast(quota), "ckey").withColumn("draw", draw)  # a row per target
         # the first hexadecimal digits of the random value name its range
-        ranged = drawn.withColumn("range", F.conv(F.substring("draw", 1, 6), 16, 10).cast("bigint") * RANGES / F.lit(1 << 24)).withColumn("range", F.floor("range").cast("int"))
+        ranges = min(MOST_RANGES, 1 + max(self.counts.values(), default=0) // RANGE_ROWS)
+        ranged = drawn.withColumn("range", F.floor(F.conv(F.substring("draw", 1, 6), 16, 10).cast("bigint") * ranges / F.lit(1 << 24)).cast("int"))
         sizes = ranged.groupBy("ckey", "range").agg(F.count("*").alias("n"))
-        before = sizes.select("ckey", "range", (F.sum("n").over(Window.partitionBy("ckey").orderBy("range")) - F.col("n")).alias("before"))  # RANGES rows a category at most
+        before = sizes.select("ckey", "range", (F.sum("n").over(Window.partitionBy("ckey").orderBy("range")) - F.col("n")).alias("before"))  # a row per category and range
         ranked = (
             ranged.join(before, ["ckey", "range"])
             .where(F.col("before") < F.col("seats"))

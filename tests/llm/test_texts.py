@@ -136,6 +136,11 @@ def test_sample_edge_rows(spark):
     s = sampling.ProportionalSample(df, targets)
     assert s.size == 26 and s.rows().count() == 26 and s.rows().select("record_key").distinct().count() == 26
     assert {tuple(r) for r in s.missed().collect()} == {("none.X", "share"), ("none.X", "minimum")}
+    # cut into many ranges, the ranks are the same
+    kept, sampling.RANGE_ROWS = sampling.RANGE_ROWS, 3
+    assert sorted(map(tuple, s.rows().collect())) == sorted(map(tuple, sampling.ProportionalSample(df, targets).rows().collect()))
+    sampling.RANGE_ROWS = kept
+    assert sorted(r["rank"] for r in s.rows().where("category = 'math.CO'").collect()) == list(range(1, s.seats["math.co"] + 1))
     again = sampling.ProportionalSample(df, targets, seed="other").rows()
     assert again.exceptAll(s.rows()).count() > 0 and again.count() == 26
     none = sampling.ProportionalSample(df.limit(0), targets)
