@@ -7,10 +7,12 @@ query; nothing here reaches a network.
 
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 import tempfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pandas as pd
@@ -54,6 +56,44 @@ def call(df: DataFrame, prompt: Column, model: Callable[[list[str]], list[str |
     return asked.mapInPandas(run, "prompt_key string, response string")
 
 
+def in_parallel(ask: Callable[[str], str], at_once: int = 60) -> Callable[[list[str]], list[str | None]]:
+    """A model for ``call`` that asks for one prompt at a time, ``at_once`` of them together per task; an error is no answer."""
+
+    def one(p: str) -> str | None:
+        try:
+            return ask(p)
+        except Exception:  # whatever a client raises, the stage's failure rule decides
+            return None
+
+    def model(prompts: list[str]) -> list[str | None]:
+        with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(prompts)))) as pool:
+            return list(pool.map(one, prompts))
+
+    return model
+
+
+#: Fixed value: the document that a fragment is tried in.
+DOCUMENT = "\\documentclass{article}\n\\usepackage{amsmath,amssymb,amsthm}\n\\begin{document}\n%s\n\\end{document}\n"
+
+
+def compiles(df: DataFrame, fragment: str, *, compiler: str = "pdflatex", timeout: float = 20.0) -> DataFrame:
+    """``df`` with ``compiles``: whether a fragment compiles; null where it is null or the worker has no compiler. Shell escapes are off."""
+
+    @F.udf("boolean")
+    def run(text: str | None) -> bool | None:
+        program = shutil.which(compiler)
+        if text is None or program is None:
+            return None
+        with tempfile.TemporaryDirectory() as folder:
+            (Path(folder) / "x.tex").write_text(DOCUMENT % text)
+            try:
+                return subprocess.run([program, "-no-shell-escape", "-interaction=nonstopmode", "-halt-on-error", "x.tex"], cwd=folder, capture_output=True, timeout=timeout).returncode == 0
+            except subprocess.TimeoutExpired:
+                return False
+
+    return df.withColumn("compiles", run(F.col(fragment)))
+
+
 def outcome(status: Column, correct: Column) -> Column:
     """A recorded run's outcome."""
     return F.when(status.isNull(), "SKIP").when(status.isin("TIMEOUT", "ERROR"), status).when(status == "NO_ANSWER", "SKIP").when(correct, "PASS").otherwise("FAIL")

@@ -122,6 +122,25 @@ def test_call_asks_again_for_what_failed(spark):
     assert sorted(str(r["response"]) for r in got) == ["None", "X"]
 
 
+def test_prompts_asked_in_parallel(spark):
+    def ask(p):
+        if p == "bad":
+            raise RuntimeError
+        return p + "!"
+
+    got = stages.call(spark.createDataFrame([(f"p{i}",) for i in range(20)] + [("bad",)], "p string"), F.col("p"), stages.in_parallel(ask, 8), tries=2).collect()
+    assert len(got) == 21 and sum(r["response"] is None for r in got) == 1
+
+
+def test_compiling_follows_the_compiler(spark, tmp_path):
+    fake = tmp_path / "tex"
+    fake.write_text("#!/bin/sh\ngrep -q bad x.tex && exit 1 || exit 0\n")
+    fake.chmod(0o755)
+    df = spark.createDataFrame([("good",), ("bad",), (None,)], "t string")
+    assert [r["compiles"] for r in stages.compiles(df, "t", compiler=str(fake)).collect()] == [True, False, None]
+    assert [r["compiles"] for r in stages.compiles(df, "t", compiler="no-such-compiler").collect()] == [None] * 3
+
+
 def test_code_must_be_allowed(spark):
     df = spark.createDataFrame([("print(int(input()) + 1)", [("1", "2"), ("1", "3")])], "code string, cases array<struct<input:string,output:string>>")
     with pytest.raises(PermissionError):
