@@ -6,6 +6,8 @@ characters from 0.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,17 +42,22 @@ def remove_comments(c: Column) -> Column:
     return F.regexp_replace(c, r"\n\s*\n+", "\n\n")
 
 
+_LINES = re.compile(r"[^\n]*\n|[^\n]+")
+
+
 def _strip(text: str | None, keep_ends: bool) -> str | None:
     """Comment environments, ``\\iffalse`` blocks and ``%`` comments by a line-state machine.
 
     Within a line an opening marker is looked at before a closing one, ``%`` counts
     unless escaped, inside an open ``$`` or directly inside ``\\{``. With ``keep_ends``
-    a cut comment takes the line's end with it.
+    a cut comment takes the line's end with it, and all kinds of line ends become line feeds.
     """
     if text is None:
         return None
     out, inside = [], False
-    for line in text.splitlines(keepends=True) if keep_ends else text.split("\n"):
+    if keep_ends:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    for line in _LINES.findall(text) if keep_ends else text.split("\n"):
         opens = [p for p in (line.find("\\begin{comment}"), line.find("\\iffalse")) if p >= 0]
         if opens:
             inside = True

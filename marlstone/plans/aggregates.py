@@ -54,13 +54,15 @@ def exceed_rollup(spark, d):
     return _levels(spark, d).rollup("month", "category_main", "topic").agg(F.count_if("long").alias("over_limit")).select("month", "category_main", "topic", "over_limit")
 
 
-@query()
+@query(f"""WITH {_LEVELS}, leaf AS (SELECT month, category_main, topic, count(*) AS n FROM lv GROUP BY 1, 2, 3), mid AS (SELECT month, category_main, CAST(sum(n) AS BIGINT) AS total, string_agg('"' || topic || '":' || n, ',' ORDER BY topic) AS t FROM leaf GROUP BY 1, 2)
+SELECT month, '{{"total":' || CAST(sum(total) AS BIGINT) || ',"categories":{{' || string_agg('"' || category_main || '":{{"total":' || total || ',"topics":{{' || t || '}}}}', ',' ORDER BY category_main) || '}}}}' AS summary FROM mid GROUP BY 1""")
 def summary_json(spark, d):
-    """The counts of a month as one nested JSON object."""
-    by = _levels(spark, d).groupBy("month", "category_main", "topic").agg(F.count("*").alias("n"))
-    inner = by.groupBy("month", "category_main").agg(F.sort_array(F.collect_list(F.struct("topic", "n"))).alias("t"), F.sum("n").alias("total"))
-    outer = inner.groupBy("month").agg(F.collect_list(F.struct("category_main", F.struct("total", F.map_from_entries("t").alias("topics")).alias("v"))).alias("c"), F.sum("total").alias("total"))
-    return outer.select("month", F.to_json(F.struct("total", F.map_from_entries("c").alias("categories"))).alias("summary"))
+    """The counts of a month as one nested JSON object, keys in order; its size is that of the topics."""
+    leaf = _levels(spark, d).groupBy("month", "category_main", "topic").agg(F.count("*").alias("n"))
+    mid = leaf.groupBy("month", "category_main").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("topic", "n"))).alias("t"))
+    top = mid.groupBy("month").agg(F.sum("total").alias("total"), F.sort_array(F.collect_list(F.struct("category_main", "total", "t"))).alias("c"))
+    entries = F.transform("c", lambda x: F.struct(x["category_main"], F.struct(x["total"].alias("total"), F.map_from_entries(x["t"]).alias("topics"))))
+    return top.select("month", F.to_json(F.struct("total", F.map_from_entries(entries).alias("categories"))).alias("summary"))
 
 
 def scored(spark, d):

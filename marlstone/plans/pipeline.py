@@ -73,10 +73,15 @@ def build_month(job: Job, papers: DataFrame, texts: DataFrame, done: DataFrame |
     return rows.keep_first(flat, ["category"], [F.col("paper_id"), F.col("start")], n=job.quota)
 
 
-@query()
+_APP = "least(" + ", ".join(f"CASE WHEN regexp_matches(full_text, '{p}', 'i') THEN strpos(full_text, regexp_extract(full_text, '{p}', 0, 'i')) END" for p in latex.APPENDIX) + ")"
+
+
+@query(f"""WITH {_STATEMENTS}, p AS (SELECT id, category FROM papers WHERE id IS NOT NULL AND batch_no = 8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY paper_row) = 1),
+l AS (SELECT id, text_row, {_APP} AS appendix FROM latex_text WHERE full_text IS NOT NULL AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY text_row) = 1)
+SELECT p.id AS paper_id, category, start FROM p JOIN l ON l.id = p.id JOIN st ON st.text_row = l.text_row WHERE appendix IS NULL OR start < appendix - 1 QUALIFY row_number() OVER (PARTITION BY category ORDER BY p.id, start) <= 30""")
 def monthly_dataset(spark, d):
     """The statements of February 2024, built from papers and texts in one plan."""
-    return build_month(Job(2024, 2), table(spark, d, "papers"), table(spark, d, "latex_text"))
+    return build_month(Job(2024, 2), table(spark, d, "papers"), table(spark, d, "latex_text")).select("paper_id", "category", "start")
 
 
 @query(f"WITH {RESULTS} SELECT q.batch_no, r.model, count(*) AS total, count(*) FILTER (WHERE r.is_correct) AS correct_count, round(count(*) FILTER (WHERE r.is_correct) / count(*), 6) AS accuracy FROM results r JOIN (SELECT qa_id, min(batch_no) AS batch_no FROM qa_pairs GROUP BY 1) q ON q.qa_id = r.question_id GROUP BY 1, 2")

@@ -18,13 +18,27 @@ def _texts(spark, d):
     return table(spark, d, "latex_text").where("full_text is not null")
 
 
-@query()
+def _stripped_sql(lines: str, glue: str) -> str:
+    """The state machine as a window: a line is inside if the last marker before it opened."""
+    markers = r"least(nullif(strpos(line, '\begin{comment}'), 0), nullif(strpos(line, '\iffalse'), 0))"
+    closed = r"greatest(CASE WHEN contains(line, '\end{comment}') THEN strpos(line, '\end{comment}') + 12 END, CASE WHEN contains(line, '\fi') THEN strpos(line, '\fi') + 2 END)"
+    head = "left(line, strpos(line, '%') - 1)"
+    odd = lambda x: f"({x}) % 2 = 1"
+    kept = rf"{odd(f"length({head}) - length(rtrim({head}, chr(92)))")} OR {odd(f"length({head}) - length(replace({head}, '$', ''))")} OR ends_with({head}, '\{{')"
+    return f"""WITH split AS (SELECT text_row, {lines} AS ls FROM latex_text WHERE full_text IS NOT NULL), l AS (SELECT text_row, i, ls[i] AS line FROM split, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+m AS (SELECT *, {markers} AS opened, {closed} AS closed FROM l), e AS (SELECT *, CASE WHEN opened IS NOT NULL THEN true WHEN closed IS NOT NULL THEN false END AS event FROM m),
+st AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY text_row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM e),
+o AS (SELECT text_row, i, CASE WHEN opened IS NOT NULL THEN nullif(left(line, opened - 1), '') WHEN closed IS NOT NULL THEN nullif(substr(line, closed + 1), '') WHEN inside OR regexp_matches(line, '^{WS}*%') THEN NULL WHEN contains(line, '%') AND NOT ({kept}) THEN {head} ELSE line END AS kept FROM st)
+SELECT s.text_row, md5(coalesce(string_agg(kept, {glue} ORDER BY i), '')) AS digest FROM split s LEFT JOIN o ON o.text_row = s.text_row GROUP BY 1"""
+
+
+@query(_stripped_sql(r"regexp_extract_all(replace(replace(full_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[^\n]*\n|[^\n]+')", "''"))
 def strip_comments(spark, d):
     """Comments removed by the line-state machine."""
     return _texts(spark, d).select("text_row", F.md5(latex.strip_comments("full_text")).alias("digest"))
 
 
-@query()
+@query(_stripped_sql("string_split(full_text, chr(10))", "chr(10)"))
 def strip_comments_text(spark, d):
     return _texts(spark, d).select("text_row", F.md5(latex.strip_comments_text("full_text")).alias("digest"))
 
