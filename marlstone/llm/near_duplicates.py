@@ -55,7 +55,7 @@ class Likeness:
 
 
 #: Five-word shingles at 0.8: the default for texts.
-TEXTS = Likeness("shingles", 0.8, half=8, rows=4)
+TEXTS = Likeness("shingles", 0.8, half=12, rows=4)
 #: Rows of one bucket that a task pairs at once; larger ones are cut into blocks.
 HOT = 20_000
 
