@@ -13,7 +13,6 @@ from marlstone.plans.base import MONTH_SQL, TOPICS_SQL, month_of_batch
 from marlstone.plans.filters import _COUNT
 from marlstone.plans.joins import _PAPER_DATE, dated
 from marlstone.plans.registry import QA, RESULTS, THEOREMS, Registry, norm_sql, trim_sql, words_sql
-from marlstone.session import table
 
 query = Registry()
 
