@@ -26,6 +26,41 @@ def test_month_is_built_once(spark, data):
     assert pipeline.build_month(pipeline.Job(2024, 2, categories=("nothing",)), p, t).count() == 0
 
 
+def test_build_counts_finished_pairs(spark):
+    """Comments go first, every stage drops what it should, and the quota counts pairs that are left, by topic and month."""
+
+    def recorded(ask, columns, replies):
+        df = spark.createDataFrame(list(replies), columns)
+        return df.select(F.sha2(ask, 256).alias("prompt_key"), "response")
+
+    def thm(x):
+        return f"\\begin{{theorem}}{x}\\end{{theorem}}\n"
+
+    names = ["unasked", "vague", "unpaired", "poor", "empty", "easy", "g1", "g2", "g3"]
+    one = "% \\appendix is not here\n% " + thm("commented") + "".join(map(thm, names)) + "\\appendix\n" + thm("late")
+    papers = spark.createDataFrame([("a", "math.NT", 1, 1), ("a", "math.NT", 2, 9), ("b", "math.NT", 2, 2), ("c", "math.AG", 1, 3), (None, "math.NT", 1, 4), ("d", "math.NT", 1, 5)], "id string, category string, batch_no int, paper_row long")
+    texts = spark.createDataFrame([("a", 1, one), ("a", 2, thm("g9")), ("b", 3, thm("g1") + thm("g4")), ("c", 4, thm("g5")), ("d", 5, None)], "id string, text_row long, full_text string")
+    every = [*names, "commented", "late", *(f"g{i}" for i in range(4, 10))]
+    unique = recorded(pipeline.ask_unique(), "content string, response string", [(x, '{"single_unique_answer": "%s"}' % ("False" if x == "vague" else "true")) for x in every if x != "unasked"])
+    pair = {x: '{"question": "Q %s", "answer": "%s", "is_good_qa": "%s"}' % (x, "" if x == "empty" else "A", "false" if x == "poor" else "true") for x in every if x != "unpaired"}
+    written = recorded(pipeline.ask_pair(), "content string, response string", pair.items())
+    first = pipeline.month_statements(papers, texts)
+    easy = next(r["context"] for r in first.where("content = 'easy'").collect())
+    trivial = recorded(pipeline.ask_trivial(), "context string, question string, answer string, response string", [(easy, "Q easy", "A", '{"is_trivial": "true"}')])
+
+    def built(**job):
+        got = pipeline.build_pairs(papers, texts, unique, written, trivial, **job).orderBy("month", "topic", "paper_id", "start").collect()
+        return [(r["month"], r["topic"], r["paper_id"], r["content"]) for r in got]
+
+    a = [("2023-07", "math.NT", "a", x) for x in ("g1", "g2", "g3")]
+    b, c = [("2023-08", "math.NT", "b", x) for x in ("g1", "g4")], ("2023-07", "math.AG", "c", "g5")
+    assert built() == [c, *a, *b]
+    # six statements that fail come before these two
+    assert built(job=pipeline.Job(2023, 7, subcategories=("math.NT",), quota=2)) == a[:2]
+    assert built(job=pipeline.Job(2023, 7, categories=("math",), quota=9)) == [(m, "math", p, x) for m, _, p, x in (*a, c)]
+    assert built(done=papers.where("id = 'a'").select("id")) == [c, *b]
+
+
 def test_fetch_gives_up_softly(spark):
     def get(url):
         if "bad" in url:
