@@ -4,14 +4,16 @@ Method. Copies: the response's words are aligned with the prompt's, by the share
 its two-word shingles that the prompt contains and by the longest common subsequence.
 Refusals: each opening sentence of the response is aligned with refusal templates,
 again by longest common subsequence. Truncation: what lacks a final stop is complete
-if its tail (last word, or last word and value) ends sentences elsewhere in the
-column; the tails are counted over all responses. Language: function words and
+if its tail (last word, or last word and value) is one that ends sentences: of all
+places where the tail stands in the distinct responses, a share is before a final
+stop. A share does not move with the size of the column. Language: function words and
 script, of worded responses only. Defects are looked for in the order of DEFECTS and
 the first one found is given.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -58,6 +60,8 @@ _SENTENCE = re.compile(r"[.!?;:](?=\s)")
 _MARKUP = re.compile(r"\\[a-z]+\s*(?:\{\s*\})+|<[^<>]*>|&[a-z]+;")
 _CUT = re.compile(r"(?:\.\.\.+|…|\[(?:cut|truncated|\.\.\.|…)\]|[-–—,:;(\[{\\])\s*$")
 _STOP = re.compile(r"[.!?。！？][\"'”’)\]]*\s*$")
+_TOKEN = re.compile(r"\x01|\d(?:[\d.,/]*\d)?|[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?。！？]")
+_STOPS = frozenset(".!?。！？")
 _TEMPLATES = [_WORD.findall(t.replace("’", "'")) for t in REFUSALS]
 _LANGUAGES = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
@@ -164,6 +168,21 @@ def ending(answer: str) -> tuple[str, str]:
     return ("stop" if stop and len(tokens) > 2 else "bare" if stop else "open"), tail
 
 
+def occurrences(answer: str) -> tuple[list[str], list[str]]:
+    """Tails of an answer, each as often as it stands there: before a final stop, and inside a sentence. An end without a stop is neither."""
+    tokens = _TOKEN.findall(_MATH.sub(" \x01 ", answer.strip()))
+    ends, inside = [], []
+    last = "."
+    for token, after in zip(tokens, tokens[1:]):
+        if token not in _STOPS:
+            value = token == "\x01" or token[:1].isdigit()
+            token = "\x01" if value else token.lower()
+            tail = f"{last} \x01" if value and last not in _STOPS else token
+            (ends if after in _STOPS else inside).append(tail)
+        last = token
+    return ends, inside
+
+
 def judge(question: str | None, answer: str | None) -> tuple[str | None, str | None, str | None]:
     """(defect, ending, tail); the defect of an open end is decided from the counts of tails."""
     if is_empty(answer):
@@ -178,27 +197,36 @@ def judge(question: str | None, answer: str | None) -> tuple[str | None, str | N
     return ("truncated_answer" if kind == "cut" else None), kind, tail
 
 
-JUDGED = "qa_id bigint, defect string, ending string, tail string"
+JUDGED = "qa_id bigint, defect string, ending string, tail string, answer_key string, ends array<string>, inside array<string>"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string()] * 4 + [pa.list_(pa.string())] * 2
     for batch in batches:
-        got = [judge(q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], names=["qa_id", "defect", "ending", "tail"])
+        got = []
+        for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            defect, kind, tail = judge(q, a)
+            # only answers without a defect tell where tails stand; answers that differ in case or white space are the same
+            same = None if defect else hashlib.blake2b(" ".join(a.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            got.append((defect, kind, tail, same, *((None, None) if defect else occurrences(a))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names=["qa_id", "defect", "ending", "tail", "answer_key", "ends", "inside"])
 
 
-def defective_pairs(df: DataFrame, *, key: str = "qa_id", question: str = "question", answer: str = "answer", least_ends: int = 3) -> DataFrame:
+def defective_pairs(df: DataFrame, *, key: str = "qa_id", question: str = "question", answer: str = "answer", least_share: float = 0.1) -> DataFrame:
     """(key, defect): one row per defective pair.
 
     A null or blank answer is ``empty_answer``, whatever the question; a null question
     leaves only copies and languages unchecked. Null keys are left out. A key given
     more than once is one pair (with differing contents, the defect that comes first in
-    DEFECTS). ``least_ends``: how often a tail must end sentences to count as an end.
+    DEFECTS). ``least_share``: of a tail's places in the distinct answers without another
+    defect, the share before a final stop that makes it an end; one without any is none.
     """
     small_arrow_batches(df.sparkSession)
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("qa_id"), question, answer)
     judged = materialise(rows.mapInArrow(_judge, JUDGED), "judged")
-    ends = judged.where("ending = 'stop' and defect is null").groupBy("tail").agg(F.count("*").alias("n")).where(F.col("n") >= least_ends)
+    told = judged.where("defect is null").select("answer_key", "ends", "inside").dropDuplicates(["answer_key"])
+    places = told.select(F.explode("ends").alias("tail"), F.lit(1).alias("end")).unionByName(told.select(F.explode("inside").alias("tail"), F.lit(0).alias("end")))
+    ends = places.groupBy("tail").agg(F.avg("end").alias("share")).where((F.col("share") > 0) & (F.col("share") >= least_share))
     unknown = judged.where("ending = 'open'").join(ends, "tail", "left_anti").select("qa_id", F.lit("truncated_answer").alias("defect"))
     order = F.array_position(F.array(*[F.lit(x) for x in DEFECTS]), F.col("defect"))
     return judged.where("defect is not null").select("qa_id", "defect").unionByName(unknown).groupBy("qa_id").agg(F.min_by("defect", order).alias("defect")).withColumnRenamed("qa_id", key)

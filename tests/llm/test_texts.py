@@ -109,6 +109,24 @@ def test_open_ends_are_counted(spark):
     assert pairs_quality.defective_pairs(spark.createDataFrame([], "qa_id bigint, question string, answer string")).count() == 0
 
 
+def test_ends_are_a_share_of_distinct_answers(spark):
+    """One good end is enough, copies are one answer, and the verdict is the same for ten times the rows."""
+    rows = [(1, "q", "These are the classes with $5$."), (2, "q", "All others are those with $7$"), (3, "q", "The cat sat on the mat and the dog sat by the door."), (4, "q", "It follows that we get the")]
+    rows += [(10 + i, "q", "We find that it is the.") for i in range(4)] + [(20 + i, "q", "The bound is on the number of the maps of the plane and the line of the form, as the case may be.") for i in range(4)]
+    rows += [(30, "q", "The order is the number of the parts of the sum of the rows in the table, as the last of the lines of the proof says.")]
+
+    def cut(times):
+        every = [(k + 100 * i, q, a + " " * i) for i in range(times) for k, q, a in rows]
+        return {r["qa_id"] % 100 for r in pairs_quality.defective_pairs(spark.createDataFrame(every, "qa_id bigint, question string, answer string")).collect()}
+
+    assert cut(1) == cut(10) == {4}
+
+
+def test_places_of_tails():
+    ends, inside = pairs_quality.occurrences("It is 3.5, say. The order is $x$. Done and")
+    assert ends == ["say", "is \x01"] and inside == ["it", "is", "is \x01", "the", "order", "is", "done"]
+
+
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_common_subsequence(a, b):
     row = [0] * (len(b) + 1)
