@@ -113,7 +113,7 @@ _EDGES = "edges AS (SELECT text_row AS source, text_row * 2 AS target, 0 AS posi
 @query(f"""WITH RECURSIVE {_EDGES}, walk(path, way) AS (SELECT CAST(1 AS BIGINT), [0] UNION ALL SELECT e.target, list_append(way, e.position) FROM walk JOIN edges e ON e.source = walk.path WHERE e.target <= (SELECT max(text_row) FROM latex_text))
 SELECT path, row_number() OVER (ORDER BY way) AS place FROM walk""")
 def include_order(spark, d):
-    """Depth-first order of files that include each other."""
+    """Depth-first order of files that include each other: a made-up tree; ``file_order`` reads the texts."""
     t = table(spark, d, "latex_text").select("text_row")
     last = t.agg(F.max("text_row").alias("last"))
     edges = t.select(F.col("text_row").alias("source"), F.posexplode(F.array(F.col("text_row") * 2, F.col("text_row") * 2 + 1)).alias("position", "target")).crossJoin(F.broadcast(last)).where("target <= last")  # one row
@@ -121,6 +121,17 @@ def include_order(spark, d):
     return files.include_order(edges.select("source", "target", "position"), roots).select("path", F.col("place").cast("bigint").alias("place"))
 
 
+# no text of the tables refers to another one, so every file but the main one is unreferenced; tests have the references
+@query(r"""WITH m AS (SELECT split_part(id, 'v', 1) AS paper, text_row || '.tex' AS path, coalesce(full_text, '') AS content FROM latex_text WHERE id IS NOT NULL),
+ranked AS (SELECT paper, path, row_number() OVER (PARTITION BY paper ORDER BY NOT (contains(content, '\documentclass') OR contains(content, '\begin{document}')), length(content) DESC, path) AS k FROM m)
+SELECT paper, path, row_number() OVER (PARTITION BY paper ORDER BY k > 1, path) AS place FROM ranked""")
+def file_order(spark, d):
+    """The files of each paper from the main one along the references of the texts, then those not referenced; a paper's versions are its files."""
+    t = table(spark, d, "latex_text").where("id is not null")
+    members = t.select(F.split_part("id", F.lit("v"), F.lit(1)).alias("paper"), F.concat(F.col("text_row").cast("string"), F.lit(".tex")).alias("path"), F.coalesce("full_text", F.lit("")).alias("content"))
+    return files.file_order(members).select("paper", "path", F.col("place").cast("bigint").alias("place"))
+
+
 @query("SELECT l.text_row, coalesce(min(p.paper_row), min(q.paper_row)) AS paper_row FROM latex_text l LEFT JOIN papers p ON p.id = l.id LEFT JOIN papers q ON split_part(q.id, 'v', 1) = split_part(l.id, 'v', 1) GROUP BY 1")
 def include_resolve(spark, d):
     """A reference resolved by its exact name, else by its base name; the least match counts."""

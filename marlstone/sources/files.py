@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import latex
 from marlstone.functions.dates import months_between
-from marlstone.session import materialise
+from marlstone.session import materialise, new_table_path
 
 #: Names of main files, the best first, and extensions of other text files.
 MAIN_NAMES = ("main.tex", "paper.tex", "article.tex", "manuscript.tex")
@@ -158,23 +158,51 @@ def main_files(members: DataFrame, paper: str, order: str, path: str = "path", c
     return members.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def include_order(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(root, path, place): files in the order of a depth-first walk along (source, target, position) includes.
+def include_order(edges: DataFrame, roots: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(root, path, place): files in the order of a depth-first walk along (source, target, position) includes, then those of ``files`` (root, path) that no include reaches, by path.
 
-    A level is a join, written to the shared folder so that no level is worked out twice;
-    a file already on the way is not entered again, and its first place counts.
+    A place is the row of positions on the way from the root; the walk's order is that of the
+    least places. Each round carries on the files whose place got smaller, one place a file, until
+    there are none; so there is no limit of depth, and a way back to a file never makes its place
+    smaller. Rounds are written to the shared folder so that none is worked out twice.
     """
-    level = roots.select(F.col("root"), F.col("root").alias("path"), F.array(F.col("root")).alias("way"), F.array(F.lit(0)).alias("place"))
-    out = level
-    for _ in range(depth):
-        level = materialise(
-            level.join(edges, F.col("path") == F.col("source"))
-            .where(~F.array_contains("way", F.col("target")))
-            .select("root", F.col("target").alias("path"), F.concat("way", F.array("target")).alias("way"), F.concat("place", F.array("position")).alias("place")),
-            "includes",
-        )
+    spark = edges.sparkSession
+    level = roots.select(F.col("root"), F.col("root").alias("path"), F.array(F.lit(0)).alias("place")).distinct()
+    path = new_table_path(spark, "includes")
+    while True:
+        level.write.mode("append").parquet(path)
+        known = spark.read.schema(level.schema).parquet(path).groupBy("root", "path").agg(F.min("place").alias("least"))
+        steps = level.join(edges, F.col("path") == F.col("source")).groupBy("root", F.col("target").alias("path")).agg(F.min(F.concat("place", F.array(F.col("position").cast("int")))).alias("place"))
+        level = materialise(steps.join(known, ["root", "path"], "left").where("least is null or place < least").select("root", "path", "place"), "level")
         if not level.take(1):
             break
-        out = out.unionByName(level)
-    first = out.groupBy("root", "path").agg(F.min("place").alias("at"))
-    return first.select("root", "path", F.row_number().over(Window.partitionBy("root").orderBy("at")).alias("place"))
+    reached = known.withColumnRenamed("least", "at")
+    if files is not None:
+        rest = files.select("root", "path").where("root is not null and path is not null").distinct().join(reached, ["root", "path"], "left_anti")
+        reached = reached.unionByName(rest.withColumn("at", F.lit(None).cast("array<int>")))
+    return reached.select("root", "path", F.row_number().over(Window.partitionBy("root").orderBy(F.col("at").asc_nulls_last(), "path")).alias("place"))
+
+
+def include_edges(members: DataFrame, paper: str = "paper", path: str = "path", content: str = "content") -> DataFrame:
+    """(paper, source, target, position): the ``\\input`` and then ``\\include`` references of a paper's files that name one of its files.
+
+    A name without ``.tex`` gets it. It is looked for beside the file that names it, else by its last part
+    anywhere in the paper, the first by path.
+    """
+    refs = members.select(F.col(paper).alias("paper"), F.col(path).alias("source"), F.posexplode(latex.includes(F.col(content))).alias("position", "ref"))
+    named = refs.withColumn("ref", F.when(F.col("ref").endswith(".tex"), F.col("ref")).otherwise(F.concat("ref", F.lit(".tex"))))
+    named = named.withColumn("beside", F.concat(F.regexp_extract("source", r"(?s)^(.*/)?", 0), F.regexp_replace("ref", r"^(\./)+", ""))).withColumn("last", F.element_at(F.split("ref", "/"), -1))
+    have = members.select(F.col(paper).alias("paper"), F.col(path).alias("target")).distinct()
+    anywhere = have.groupBy("paper", F.element_at(F.split("target", "/"), -1).alias("last")).agg(F.min("target").alias("other"))
+    found = named.join(have.withColumnRenamed("target", "beside").withColumn("exact", F.col("beside")), ["paper", "beside"], "left").join(anywhere, ["paper", "last"], "left")
+    return found.withColumn("target", F.coalesce("exact", "other")).where("target is not null").select("paper", "source", "target", "position")
+
+
+def file_order(members: DataFrame, paper: str = "paper", order: str = "path", path: str = "path", content: str = "content") -> DataFrame:
+    """(paper, path, place): all files of each paper, from the main one along its includes, then those that are not referenced."""
+    whole = lambda p, f: F.struct(p.alias("paper"), f.alias("path"))
+    p = F.col(paper)
+    edges = include_edges(members, paper, path, content).select(whole(F.col("paper"), F.col("source")).alias("source"), whole(F.col("paper"), F.col("target")).alias("target"), "position")
+    first = main_files(members, paper, order, path, content).select(whole(p, F.col(path)).alias("root"), p.alias("paper"))
+    every = members.select(p.alias("paper"), whole(p, F.col(path)).alias("path")).join(first, "paper").select("root", "path")
+    return include_order(edges, first.select("root"), every).select(F.col("path.paper").alias("paper"), F.col("path.path").alias("path"), "place")

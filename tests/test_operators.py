@@ -86,6 +86,38 @@ def test_include_order_with_a_cycle(spark):
     assert [r["path"] for r in got] == ["m", "a", "c", "b"]
 
 
+def test_include_order_of_a_long_chain_and_of_unreferenced_files(spark):
+    """No depth is too deep, a later but smaller place wins, and files that nothing includes come last, by path."""
+    edges = [(f"f{i:02d}", f"f{i + 1:02d}", 0) for i in range(36)] + [("f00", "f20", 1), ("f36", "f00", 0), ("lost", "f01", 0)]
+    every = [("f00", f"f{i:02d}") for i in range(37)] + [("f00", "lost"), ("f00", "also lost"), ("f00", "lost")]
+    got = files.include_order(spark.createDataFrame(edges, "source string, target string, position int"), spark.createDataFrame([("f00",)], "root string"), spark.createDataFrame(every, "root string, path string"))
+    assert [r["path"] for r in got.orderBy("place").collect()] == [f"f{i:02d}" for i in range(37)] + ["also lost", "lost"]
+
+
+def test_include_order_is_the_depth_first_walk(spark):
+    """Random graphs against a walk with a visited set."""
+    import random
+
+    def walk(after, at, seen):
+        seen.append(at)
+        for x in after[at]:
+            if x not in seen:
+                walk(after, x, seen)
+        return seen
+
+    draw = random.Random(5)
+    graphs = [{n: draw.sample(range(9), draw.randint(0, 3)) for n in range(9)} for _ in range(20)]
+    edges = [(100 * g + n, 100 * g + x, i) for g, after in enumerate(graphs) for n in after for i, x in enumerate(after[n])]
+    got = files.include_order(spark.createDataFrame(edges, "source int, target int, position int"), spark.createDataFrame([(100 * g,) for g in range(20)], "root int")).orderBy("root", "place").collect()
+    assert [(r["root"], r["path"]) for r in got] == [(100 * g, 100 * g + x) for g, after in enumerate(graphs) for x in walk(after, 0, [])]
+
+
+def test_file_order_follows_the_texts(spark):
+    rows = [("p", "main.tex", r"\include{b} \input{parts/a} \input{gone}"), ("p", "parts/a.tex", r"\input{c.tex}"), ("p", "parts/c.tex", "x"), ("p", "c.tex", "x"), ("p", "sub/b.tex", r"\input{main}"), ("p", "aside.tex", "x"), ("q", "only.tex", r"\input{c}")]
+    got = files.file_order(spark.createDataFrame(rows, "paper string, path string, content string")).orderBy("paper", "place").collect()
+    assert [r["path"] for r in got] == ["main.tex", "parts/a.tex", "parts/c.tex", "sub/b.tex", "aside.tex", "c.tex", "only.tex"]
+
+
 def test_dynamic_overwrite_keeps_other_partitions(spark):
     path = new_table_path(spark, "dyn")
     files.save(spark.createDataFrame([(1, "a"), (2, "b")], "n int, p string"), path, by=["p"])
