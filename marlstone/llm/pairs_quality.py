@@ -2,7 +2,7 @@
 
 Method. Copies: the response's words are aligned with the prompt's, by the share of
 its two-word shingles that the prompt contains and by the longest common subsequence.
-Refusals: each opening sentence of the response is aligned with refusal templates,
+Refusals: each clause of the response is aligned with refusal templates,
 again by longest common subsequence. Truncation: what lacks a final stop is complete
 if its tail (last word, or last word and value) is one that ends sentences: of all
 places where the tail stands in the distinct responses, a share is before a final
@@ -107,9 +107,9 @@ def copies(question: str, answer: str) -> bool:
 
 
 def refuses(answer: str) -> bool:
-    """Whether one of the first sentences follows a refusal template: nearly all its words in order and close together."""
+    """Whether a clause, wherever it stands, follows a refusal template: nearly all its words in order and close together."""
     text = _MATH.sub(" ", answer.lower().replace("’", "'"))
-    for part in _SENTENCE.split(text)[:4]:
+    for part in _SENTENCE.split(text):
         w = _WORD.findall(part)
         if not w:
             continue

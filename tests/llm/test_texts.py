@@ -101,6 +101,12 @@ def test_defects(question, answer, want):
     assert pairs_quality.judge(question, answer)[0] == want
 
 
+def test_refusal_after_a_long_preamble():
+    lead = "The question is about tilings. It names a board: a square one. The board has rank five; its sides are even. Much is known of it. "
+    assert pairs_quality.judge("Q", lead + "Still, I cannot answer this question.")[0] == "refusal"
+    assert pairs_quality.judge("Q", lead + "Their number is $5$.")[0] is None
+
+
 def test_open_ends_are_counted(spark):
     whole = [(i, "q", f"The order of the group is {i}.") for i in range(5)]
     rows = [*whole, (10, "q", "The order of the group is 7"), (11, "q", "The order of the gro"), (12, None, None), (12, None, None), (None, "q", ""), (13, "q", "The answer is given by the"), (14, "q", "word " * 100_000)]
