@@ -107,17 +107,29 @@ class ProportionalSample:
         self.seats = seats(self.counts, {c: (p, m) for c, (_, p, m) in self.targets.items()}, self.size)
 
     def report(self) -> DataFrame:
-        """(category, available, wanted, minimum, drawn, missed_share, missed_minimum), a row per target category."""
+        """(category, available, wanted, minimum, drawn, missed_share, missed_minimum), a row per target category.
+
+        ``drawn`` counts the rows of the sample; where they are not as many as planned, it raises.
+        """
         rows = []
         for c, (name, permille, least) in sorted(self.targets.items()):
             n, wanted = self.counts.get(c, 0), -(-permille * self.size // 1000)
             rows.append((name, n, wanted, least, self.seats.get(c, 0), n < wanted, n < least))
-        return self.spark.createDataFrame(rows, "category string, available bigint, wanted bigint, minimum bigint, drawn bigint, missed_share boolean, missed_minimum boolean")
+        plan = self.spark.createDataFrame(rows, "category string, available bigint, wanted bigint, minimum bigint, seats bigint, short_share boolean, short_minimum boolean")
+        drawn = self.rows().groupBy("category").agg(F.count("*").alias("n"))
+        r = plan.join(drawn, "category", "left").withColumn("drawn", F.coalesce("n", F.lit(0)))
+        as_planned = F.col("drawn") == F.col("seats")
+        said = F.concat(F.lit("rows drawn and planned differ in "), "category")
+
+        def checked(c: str) -> Column:
+            return F.when(as_planned, F.col(c)).otherwise(F.raise_error(said).cast("boolean"))
+
+        return r.select("category", "available", "wanted", "minimum", "drawn", checked("short_share").alias("missed_share"), checked("short_minimum").alias("missed_minimum"))
 
     def missed(self) -> DataFrame:
         """(category, missed): one row per category and miss."""
-        r = self.report()
-        return r.where("missed_share").select("category", F.lit("share").alias("missed")).unionByName(r.where("missed_minimum").select("category", F.lit("minimum").alias("missed")))
+        kinds = F.array(F.when(F.col("missed_share"), F.lit("share")), F.when(F.col("missed_minimum"), F.lit("minimum")))
+        return self.report().select("category", F.explode(F.array_compact(kinds)).alias("missed"))
 
     def rows(self) -> DataFrame:
         """(record_key, category, rank, priority): the records drawn."""

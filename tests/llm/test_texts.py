@@ -171,6 +171,19 @@ def test_sample_edge_rows(spark):
     assert none.rows().count() == 0 and none.size == 0
 
 
+def test_report_counts_the_sample(spark):
+    """What was drawn is counted from the rows, and no miss is told of a sample that is not the planned one."""
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)], "qa_id bigint, category string")
+    s = sampling.ProportionalSample(df, spark.createDataFrame([("a", 500, 2), ("b", 300, 2), ("c", 200, 1)], "category string, target_permille int, min_rows int"))
+    told = {r["category"]: r["drawn"] for r in s.report().collect()}
+    assert told == {**collections.Counter(r["category"] for r in s.rows().collect()), "c": 0}
+    whole = s.rows
+    s.rows = lambda: whole().where("category <> 'a' or rank > 1")
+    for made in (s.report, s.missed):
+        with pytest.raises(Exception, match="differ in a"):
+            made().collect()
+
+
 def test_cut_poisson_has_the_wanted_mean():
     for most in (1, 2, 4, 9):
         for rate in (0.0, 0.01, 0.5 * most, 0.99 * most, most, most + 1):
