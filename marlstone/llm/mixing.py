@@ -132,12 +132,16 @@ class Mixture:
         )
 
     def report(self) -> DataFrame:
-        """(source, own_tokens, target_share, max_repeats, mixed_tokens, actual_share, falls_short)."""
+        """(source, own_tokens, target_share, max_repeats, mixed_tokens, actual_share, falls_short).
+
+        A source falls short if the replication has used all of it ``max_repeats`` times and its
+        mixed tokens still are below its share.
+        """
         used = self.copies().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
-        short = set(self.short())
-        plan = self.spark.createDataFrame([(name, self.own[k], t, m, name in short) for k, (name, t, m) in self.targets.items()], "source string, own_tokens bigint, target_share double, max_repeats int, falls_short boolean")
+        plan = self.spark.createDataFrame([(name, self.own[k], t, m, t * self.total) for k, (name, t, m) in self.targets.items()], "source string, own_tokens bigint, target_share double, max_repeats int, wanted double")
         mixed = F.coalesce("mixed", F.lit(0))
-        return plan.join(used, "source", "left").select("source", "own_tokens", "target_share", "max_repeats", mixed.alias("mixed_tokens"), F.round(mixed / F.lit(max(1, self.total)), 6).alias("actual_share"), "falls_short")
+        short = (mixed >= F.col("max_repeats") * F.col("own_tokens")) & (mixed < F.col("wanted"))
+        return plan.join(used, "source", "left").select("source", "own_tokens", "target_share", "max_repeats", mixed.alias("mixed_tokens"), F.round(mixed / F.lit(max(1, self.total)), 6).alias("actual_share"), short.alias("falls_short"))
 
     def rows(self) -> DataFrame:
         """(doc_id, copy_no, source, tokens, text), in a globally shuffled order."""

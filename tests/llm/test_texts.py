@@ -207,6 +207,18 @@ def test_mixture(spark):
     assert empty.rows().count() == 0 and empty.report().count() == 3
 
 
+def test_falling_short_follows_the_replication(spark):
+    """Told from the mixed tokens, so that the replication is part of the plan; the same as by the sizes."""
+    docs = spark.createDataFrame([(i, "some words here", "ab"[i % 4 == 0]) for i in range(400)], "doc_id bigint, text string, source string")
+    m = mixing.Mixture(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1), ("c", 0.1, 3), ("d", 0.0, 2)], "source string, target_share double, max_repeats int"))
+    found = m.report().where("falls_short").select("source")
+    assert sorted(r["source"] for r in found.collect()) == sorted(m.short()) == ["b", "c"]
+    assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = m.copies
+    m.copies = lambda: whole().where("source <> 'b' or doc_id > 0")
+    assert [r["source"] for r in m.report().where("falls_short").collect()] == ["c"]
+
+
 def test_long_text_is_counted_in_parts(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PART", 50)
     whole = " ".join(["token"] * 100)
