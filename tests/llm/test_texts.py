@@ -2,6 +2,7 @@
 
 import collections
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,18 @@ def test_subjects_by_sentences(spark):
     assert subjects.subject_shares(docs, labels).count() == 6 and subjects.subject_shares(docs, labels.limit(0)).count() == 6
 
 
+def test_calibration_follows_most_labellers(spark):
+    """A minority's label does not count, and the bound is on documents, not on labels."""
+    finds = spark.createDataFrame([(1, 1, [0], [0], [False]), (2, 1, [0], [1], [False]), (3, 2, [0, 1], [2, 1], [False] * 2)], subjects.FINDS)
+
+    def least(labels, most=9):
+        return subjects._calibrated(finds, spark.createDataFrame(labels, "doc_id bigint, subject string, labeller string"), ["a", "b"], [(0,), (0,), (1,)], np.array([0.6, 0.8, 0.6]), 0.25, most)
+
+    assert least([(1, "b", "x"), (1, "b", "y"), (1, "a", "z"), (2, "a", "x")]) == 0.7
+    for first, last in ("ab", "ba"):
+        assert least([(3, first, "x"), (3, last, "x"), (4, "a", "x")], most=1) == 0.55
+
+
 @pytest.mark.parametrize("question, answer, want", [
     ("What is the value of x?", None, "empty_answer"), ("What?", " \xa0\n", "empty_answer"), ("What?", "\\text{}", "empty_answer"), ("What?", "N/A.", "empty_answer"), ("What?", "<p></p>", "empty_answer"), ("What?", "0", None), ("What?", "当", None),
     ("How many tilings of rank five does the board admit?", "We are asked: How many tilings of rank five does the board admit", "copies_question"),
