@@ -17,6 +17,7 @@ never paired with each other here; ``members`` maps every record to its class.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,16 +206,19 @@ def record_pairs(found: Duplicates) -> DataFrame:
     )
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Connected components of ``pairs`` (a, b): rows (node, root), root the least node. Nodes without a pair are left out.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014), each written to the shared folder.
-    Ends when a round changes nothing, after a logarithmic number of rounds.
+    Ends when a round changes nothing, after a logarithmic number of rounds. With ``rounds``, raises
+    where that many are not enough: groups are never given unfinished.
     """
     edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = materialise(edges, "edges")
     last = None
-    for _ in range(rounds):
+    for done in itertools.count(1):
+        if rounds is not None and done > rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

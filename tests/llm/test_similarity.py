@@ -95,6 +95,13 @@ def test_repeated_and_null_keys(spark):
     assert sorted(tuple(r) for r in found.members.collect()) == [(1, 1), (2, 1)]
 
 
+def test_components_are_never_unfinished(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError, match="not complete after 2"):
+        near_duplicates.components(chain, rounds=2)
+    assert {r["root"] for r in near_duplicates.components(chain).collect()} == {0}
+
+
 def test_components(spark):
     rnd = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 105), (105, 100)] + [tuple(sorted(rnd.sample(range(200, 260), 2))) for _ in range(50)]
