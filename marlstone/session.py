@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +51,59 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(archive)
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a folder or file, wherever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = filesystem(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, in order; none if there is no such folder."""
+    fs, p = filesystem(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; it appears whole or not at all, and replaces one that is there."""
+    fs, p = filesystem(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, hadoop.Path(path), how)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = filesystem(spark, path)
+    source = fs.open(p)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or on a single machine one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="marlstone-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -61,21 +111,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; removed when the driver's Python ends."""
+    """A fresh path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_at_end, *filesystem(spark, path))
+    return path
 
-    def remove() -> None:
-        if path.startswith(("file:///", "/")):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
-    atexit.register(remove)
-    return path
+def _delete_at_end(fs, path) -> None:
+    with suppress(Exception):  # the JVM may have ended before
+        fs.delete(path, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A fresh folder of the shared folder, deleted at the end of the block."""
     path = new_table_path(spark, name)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
+def materialise(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or to ``under``) and read it back: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{under}/{name}" if under else new_table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
