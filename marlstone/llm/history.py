@@ -1,40 +1,32 @@
-"""Checking new batches against everything already accepted, by an inverted index of rare-token prefixes.
-
-Method. A record is its bag of words as a set (see ``words.counted``). Tokens are
-put into one fixed order, rare before frequent. Two sets with Jaccard t or more
-share a token among their first ``n - ceil(t * n) + 1`` tokens, so only this
-prefix is indexed, partitioned by token, and only the postings of a batch's own
-prefix tokens are read. A pair that meets in a token's postings is filtered by
-length and by a 256-bit bitmap of each set (the bitmaps differ in at most as many
-bits as the sets differ in elements, so the filter loses no pair), then verified
-on the elements. The result is exact.
-
-The order needs counts only for frequent tokens: those with at least
-``1 / MOST_FREQUENT`` of all tokens, of which there can be at most MOST_FREQUENT.
-Others count as rare and are ordered by hash.
-
-``replay`` treats many batches in one pass: every record is put into the index
-once and probes it once, seeing only earlier batches. ``History`` keeps the index
-on disk between batches. Both give the same records.
+"""Checking new batches against everything already accepted, by indexes that grow batch by batch.
+
+``History`` is an inverted index of rare-token prefixes (see ``prefixes``), partitioned
+by token: a batch probes the postings of its own prefix tokens, pairs are filtered by
+size, place and bitmap, the elements of the candidates alone are fetched to verify the
+overlap, and the postings of new texts are appended. ``KnownIds`` is the same for exact
+ids. Both read only the parts of the index that hold a token or candidate of the batch
+(see ``parted``); earlier batches are not worked through again.
+
+A batch takes effect when its manifest is written, after all its data. A batch that
+failed half-way left nothing that counts, and can be added again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import units, words
-from marlstone.llm.near_duplicates import Likeness, elements_of, fingerprints
-from marlstone.session import materialise, small_arrow_batches, whole_words
+from marlstone.llm import prefixes, units
+from marlstone.llm.near_duplicates import Likeness
+from marlstone.llm.parted import FAN_IN, PART_ROWS, Parted, Segment
+from marlstone.session import delete, exists, materialise, names, new_table_path, read_text, scratch, write_text
 
-MOST_FREQUENT = 100_000
-HOT = 20_000
-PARTS = 64
-SETS = "key bigint, fp1 bigint, fp2 bigint, n int, prefix array<bigint>, map binary, elements array<int>"
+KNOWN = "record_key bigint, first_batch int"
 
 
 def paper_key(column: str) -> Column:
@@ -48,192 +40,68 @@ def paper_key(column: str) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def known_ids(df: DataFrame, key: str, record: str, batch: str) -> DataFrame:
-    """(record, batch_no, first_batch): rows whose id names a paper of an earlier batch.
+class _Growing:
+    """Tables of an index with a manifest per batch. One batch is added at a time, in ascending order; the last one may be added again."""
 
-    Rows with a null id or batch are no case. Repeated rows each count. One map-side
-    combined aggregate by id, then a join; a hot id only ever adds a row to probe.
-    """
-    rows = df.select(F.col(record).alias("record_key"), F.col(batch).alias("batch_no"), paper_key(key).alias("token")).where("token is not null and batch_no is not null and record_key is not null")
-    first = rows.groupBy("token").agg(F.min("batch_no").alias("first_batch"))
-    return rows.join(first, "token").where("batch_no > first_batch").select("record_key", "batch_no", "first_batch")
-
-
-def _prepared(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    small_arrow_batches(df.sparkSession)
-    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), whole_words(text).alias("text"), *more)
-
-
-def frequent_tokens(df: DataFrame, key: str, text: str, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens ascending by hash, their counts) of the frequent tokens of all rows: at most MOST_FREQUENT."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, _ = elements_of(batch.column(0), like)
-            token, n = np.unique(values, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
-
-    counts = materialise(_prepared(df, key, text).select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(2, -(-total // MOST_FREQUENT))
-    rows = counts.where(F.col("n") >= least).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], rows["n"].to_numpy(np.int64)[order]
-
-
-def _indexer(like: Likeness, tokens: np.ndarray, counts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, at = elements_of(batch.column(1), like)
-            size = np.diff(at)
-            keep = np.flatnonzero(size > 0)
-            if len(keep) == 0:
-                continue
-            rows = words.rows_of(at)
-            frequency = np.zeros(len(values), np.int64)
-            if len(tokens):
-                pos = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
-                frequency = np.where(tokens[pos] == values, counts[pos], 0)
-            order = np.lexsort((values, frequency, rows))
-            place = np.arange(len(values)) - np.repeat(at[:-1], size)
-            prefix = size - np.ceil(like.threshold * size - 1e-9).astype(np.int64) + 1
-            head = place < np.repeat(prefix, size)
-            bits = np.zeros((len(size), 256), np.uint8)
-            np.bitwise_xor.at(bits, (rows, (words.mix(values) & np.uint64(255)).astype(np.int64)), 1)
-            maps = np.packbits(bits, axis=1)[keep]
-            lists = lambda flat, lengths: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(keep)),
-                    pa.array(fingerprints(values, at, 0)[keep].view(np.int64)),
-                    pa.array(fingerprints(values, at, 0x5BD1E995)[keep].view(np.int64)),
-                    pa.array(size[keep].astype(np.int32)),
-                    lists(values[order][head].view(np.int64), prefix[keep]),
-                    pa.array([bytes(x) for x in maps], pa.binary()),
-                    lists((values & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), size[keep]),
-                ],
-                names=["key", "fp1", "fp2", "n", "prefix", "map", "elements"],
-            )
-
-    return run
-
-
-def _bound(nx, ny, t: float):
-    """Most elements in which two sets of these sizes may differ at Jaccard t."""
-    return np.floor((nx + ny) * (1 - t) / (1 + t) + 1e-9)
-
-
-def _matcher(like: Likeness):
-    t = like.threshold
-
-    def work(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit, key, role, n = (tab[c].to_numpy() for c in ("unit", "id", "role", "n"))
-        maps = np.frombuffer(b"".join(tab["map"].to_pylist()), np.uint64).reshape(len(unit), 4)
-        order = np.lexsort((n, unit))
-        unit, key, role, n, maps = unit[order], key[order], role[order], n[order].astype(np.int32), maps[order]
-        first, second = np.ascontiguousarray(maps[:, 0]), np.ascontiguousarray(maps[:, 1])
-        end, found = units.runs_of(unit), []
-
-        def keep(x: np.ndarray, y: np.ndarray) -> None:
-            ok = (role[x] == 0) | (role[x] != role[y])
-            x, y = x[ok], y[ok]
-            ok = n[y] * t <= n[x] + 1e-9
-            x, y = x[ok], y[ok]
-            ok = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int32) <= _bound(n[x], n[y], t)
-            u, v = key[x[ok]], key[y[ok]]
-            if len(u):
-                found.append(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1))
-
-        long = np.zeros(len(unit), bool)
-        heads = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        for s in heads[end[heads] - heads > 64]:
-            e = int(end[s])
-            long[s:e] = True
-            for i in range(int(s), e, 256):
-                j = min(i + 256, e)
-                # sizes ascend: partners of the block's largest set end where n exceeds n_max / t
-                stop = int(s + np.searchsorted(n[s:e], np.floor(n[j - 1] / t + 1e-9), side="right"))
-                # one bound per partner, that of the block's largest set: whole bytes, no floats per pair
-                most = np.minimum(_bound(n[j - 1], n[i:stop], t), 255).astype(np.uint8)
-                differ = np.bitwise_count(first[i:j, None] ^ first[None, i:stop])
-                differ += np.bitwise_count(second[i:j, None] ^ second[None, i:stop])
-                hit = np.flatnonzero((differ <= most).ravel())
-                x, y = np.divmod(hit, stop - i)
-                x, y = x + i, y + i
-                up = x < y
-                if up.any():
-                    keep(x[up], y[up])
-        rest = np.flatnonzero(~long)
-        for x, y in units.pairs_in_runs(unit[rest]):
-            x, y = rest[x], rest[y]
-            near = (n[y] * t <= n[x] + 1e-9) & (np.bitwise_count(first[x] ^ first[y]) <= _bound(n[x], n[y], t))
-            keep(x[near], y[near])
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return work
-
-
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) whose elements, looked up in left for a and right for b, reach the threshold."""
-    return (
-        pairs.join(left.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
-        .join(right.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
-        .withColumn("both", F.size(F.array_intersect("ea", "eb")))
-        .where(F.col("both") >= like.threshold * (F.size("ea") + F.size("eb") - F.col("both")) - 1e-9)
-        .select("a", "b")
-    )
-
-
-def replay(df: DataFrame, key: str, text: str, batch: str, like: Likeness, hot: int = HOT) -> DataFrame:
-    """(record_key, batch_no, first_batch): records near to one of an earlier batch, all batches in one pass.
-
-    Likeness within a batch does not count. A key delivered twice counts as one record
-    of its earliest batch. Null keys, texts or batches and texts without words are no
-    case. Equal texts are one class in the index, so copies cost no pairs.
-    """
-    rows = df.where(F.col(batch).isNotNull())
-    tokens, counts = frequent_tokens(rows, key, text, like)
-    prepared = _prepared(rows, key, text, F.col(batch).cast("int").alias("batch_no"))
-    sets = materialise(prepared.select("key", "text").mapInArrow(_indexer(like, tokens, counts), SETS), "sets")
-    batches = prepared.groupBy("key").agg(F.min("batch_no").alias("batch_no"))
-    members = sets.select("key", "fp1", "fp2").distinct().join(batches, "key")
-    ids = members.groupBy("fp1", "fp2").agg(F.min("key").alias("id"), F.min("batch_no").alias("low"), F.max("batch_no").alias("high"))
-    members = materialise(members.join(ids, ["fp1", "fp2"]).select("key", "batch_no", "id", "low", "high"), "members")
-    classes = sets.join(members.where("key = id").select(F.col("key"), "id", "low", "high"), "key").dropDuplicates(["id"])
-    classes = materialise(classes.select("id", "n", "prefix", "map", "elements", "low", "high"), "classes")
-    postings = classes.select(F.explode("prefix").alias("unit"), "id", "n", "map")
-    pairs = units.each_unit(units.split_hot(postings, hot), _matcher(like), "a bigint, b bigint").distinct()
-    near = _verified(pairs, classes, classes, like)
-    span = classes.select("id", "low", "high")
-    links = near.union(near.select("b", "a")).toDF("id", "other")
-    earliest = links.join(span.select(F.col("id").alias("other"), "low"), "other").groupBy("id").agg(F.min("low").alias("near_low"))
-    return (
-        members.join(earliest, "id", "left")
-        .withColumn("first_batch", F.least("low", "near_low"))
-        .where("batch_no > first_batch")
-        .select(F.col("key").alias("record_key"), "batch_no", "first_batch")
-    )
-
-
-class History:
-    """An index of accepted records in the shared folder, grown batch by batch.
-
-    ``add`` reads only the postings of the batch's own prefix tokens, returns the
-    records that are not new, and writes the postings of texts not yet indexed under
-    the batch's number. A batch added again replaces itself, so a repeated job changes
-    nothing; batches must be added in ascending order. The token order is frozen when
-    the index is made, from ``sample`` (any rows, e.g. the first batch).
+    tables: dict[str, Parted]
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _manifests(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in names(self.spark, f"{self.path}/manifests") if n.endswith(".json")]
+
+    def _load(self, number: int) -> dict[str, list[Segment]]:
+        told = json.loads(read_text(self.spark, f"{self.path}/manifests/{number:012d}.json"))
+        return {t: [Segment(**s | {"parts": tuple(s["parts"])}) for s in told[t]] for t in self.tables}
+
+    def _before(self, number: int) -> dict[str, list[Segment]]:
+        have = self._manifests()
+        if have and number < max(have):
+            raise ValueError(f"batch {number} comes after batch {max(have)}")
+        earlier = [n for n in have if n < number]
+        return self._load(max(earlier)) if earlier else {t: [] for t in self.tables}
+
+    def _accept(self, number: int, before: dict[str, list[Segment]], added: dict[str, Segment]) -> None:
+        now = {t: table.merged([*before[t], added[t]]) for t, table in self.tables.items()}
+        write_text(self.spark, f"{self.path}/manifests/{number:012d}.json", json.dumps({t: [s.plain() for s in now[t]] for t in self.tables}))
+        # the state before this batch stays, so that the batch can be added again
+        for t, table in self.tables.items():
+            table.forget([*before[t], *now[t]])
+        for n in sorted(self._manifests())[:-2]:
+            delete(self.spark, f"{self.path}/manifests/{n:012d}.json")
+
+    def _answer(self, known: DataFrame, number: int) -> DataFrame:
+        path = f"{self.path}/known/batch_no={number}"
+        known.select("record_key", F.col("first_batch").cast("int").alias("first_batch")).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(KNOWN).parquet(path)
+
+    def known(self) -> DataFrame:
+        """(record_key, batch_no, first_batch): the answers to all batches so far."""
+        path = f"{self.path}/known"
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], "record_key bigint, batch_no int, first_batch int")
+        return self.spark.read.schema(KNOWN + ", batch_no int").parquet(path).select("record_key", "batch_no", "first_batch")
+
+
+class History(_Growing):
+    """An index of accepted records by their text.
+
+    The token order is frozen when the index is made, from ``sample`` (any rows, e.g. the
+    first batch); it decides how long postings get, not what is found. Without a sample,
+    the index at ``path`` is opened. ``hot``: rows of a unit that one task pairs at once.
     """
 
-    def __init__(self, spark: SparkSession, path: str, like: Likeness, key: str, text: str, sample: DataFrame | None = None):
-        """Make an index from ``sample``, or open the one at ``path`` if there is no sample."""
-        self.spark, self.path, self.like, self.key, self.text = spark, path, like, key, text
+    def __init__(self, spark: SparkSession, path: str, like: Likeness, key: str, text: str, sample: DataFrame | None = None, *, hot: int = prefixes.HOT, part_rows: int = PART_ROWS, fan_in: int = FAN_IN):
+        super().__init__(spark, path)
+        self.like, self.key, self.text, self.hot = like, key, text, hot
+        posting = "unit bigint, id bigint, n int, pos int, map binary"
+        self.tables = {
+            "postings": Parted(spark, f"{path}/postings", posting, "unit", part_rows, fan_in),
+            "sets": Parted(spark, f"{path}/sets", "id bigint, elements array<int>, batch int", "id", part_rows, fan_in),
+        }
         if sample is not None:
-            tokens, counts = frequent_tokens(sample, key, text, like)
+            tokens, counts = prefixes.frequent_tokens(sample, key, text, like)
             rows = [(int(t), int(n)) for t, n in zip(tokens.view(np.int64), counts)]  # at most MOST_FREQUENT
             spark.createDataFrame(rows, "token bigint, n bigint").write.mode("overwrite").parquet(f"{path}/order")
         kept = spark.read.schema("token bigint, n bigint").parquet(f"{path}/order").toPandas()
@@ -241,34 +109,94 @@ class History:
         order = np.argsort(tokens)
         self.order = tokens[order], kept["n"].to_numpy(np.int64)[order]
 
-    def _before(self, name: str, schema: str, number: int) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(schema + ", batch int").parquet(f"{self.path}/{name}").where(F.col("batch") < number)
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema + ", batch int")
+    def add(self, batch: DataFrame, number: int) -> DataFrame:
+        """(record_key, first_batch): the batch's records that are near to an accepted one, with the earliest batch of such; then accept the batch.
+
+        Likeness within the batch does not count. Equal texts are one entry of the index,
+        under the first batch that had them. Null keys, null texts and texts without words are
+        no case; a key given more than once in the batch has all its texts. A key
+        accepted before should not come again: it would be near to itself.
+        """
+        before = self._before(number)
+        with scratch(self.spark, "history") as own:
+            sets = materialise(prefixes.prepared(batch, self.key, self.text).mapInArrow(prefixes.indexer(self.like, *self.order), prefixes.SETS), "sets", own)
+            told = Observation()
+            least = lambda c: F.coalesce(c, F.lit(0))
+            classes = materialise(prefixes.classes_of(sets).observe(told, F.count("*").alias("n"), least(F.sum(F.size("prefix"))).alias("postings"), least(F.max("size")).alias("largest")), "classes", own)
+            total = told.get
+            fresh, known = classes, None
+            if before["postings"] and total["n"]:
+                near = materialise(self._near(classes, before, total["postings"], own), "near", own)
+                hits = near.groupBy(F.col("a").alias("id")).agg(F.min("batch").alias("first_batch"))
+                known = units.join_classes(sets.select("key", "fp1", "fp2").distinct(), classes.select("id", "fp1", "fp2", "size").join(hits, "id"), ["fp1", "fp2"], largest=total["largest"]).groupBy(F.col("key").alias("record_key")).agg(F.min("first_batch").alias("first_batch"))
+                fresh = classes.join(near.where("similarity = 1").select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+            with ThreadPoolExecutor(3) as pool:  # three jobs that don't need each other
+                answer = pool.submit(self._answer, known if known is not None else self.spark.createDataFrame([], KNOWN), number)
+                added = {
+                    "postings": pool.submit(self.tables["postings"].write, prefixes.postings(fresh, self.like.threshold).drop("side"), total["postings"]),
+                    "sets": pool.submit(self.tables["sets"].write, fresh.select("id", "elements", F.lit(number).alias("batch")), total["n"]),
+                }
+            self._accept(number, before, {t: job.result() for t, job in added.items()})
+        return answer.result()
+
+    def _near(self, classes: DataFrame, before: dict[str, list[Segment]], new_postings: int, own: str) -> DataFrame:
+        """(a, b, similarity, batch): new classes a with the accepted sets b that are near."""
+        t = self.like.threshold
+        probe = prefixes.postings(classes, t, (-1, 0, 1), F.lit(2))
+        old = self.tables["postings"].lookup(probe.select("unit"), before["postings"])
+        old = old.join(probe.select("unit").distinct(), "unit", "left_semi").withColumn("side", F.lit(1))
+        both = old.unionByName(probe)
+        if sum(s.rows for s in before["postings"]) + 3 * new_postings > self.hot:
+            both = units.split_hot(materialise(both, "probe", own), self.hot)
+        else:
+            both = both.withColumn("role", F.lit(0))
+        found = materialise(units.each_unit(both, prefixes.matcher(self.like), "a bigint, b bigint").distinct(), "found", own)
+        held = self.tables["sets"].lookup(found.select(F.col("b").alias("id")), before["sets"])
+        return prefixes.verified(found, classes, held, self.like)
+
+
+class KnownIds(_Growing):
+    """An index of accepted ids. ``name`` turns the id column into what it names; null names nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, record: str, name: Callable[[str], Column] = paper_key, *, part_rows: int = PART_ROWS, fan_in: int = FAN_IN):
+        super().__init__(spark, path)
+        self.key, self.record, self.name = key, record, name
+        self.tables = {"ids": Parted(spark, f"{path}/ids", "unit bigint, token string, first_batch int", "unit", part_rows, fan_in)}
 
     def add(self, batch: DataFrame, number: int) -> DataFrame:
-        """(record_key, other): the batch's records that are near to an accepted one, with one such record; then accept the batch."""
-        like = self.like
-        made = _prepared(batch, self.key, self.text).mapInArrow(_indexer(like, *self.order), SETS).dropDuplicates(["key"])
-        sets = materialise(made.withColumn("id", F.min("key").over(Window.partitionBy("fp1", "fp2"))), "batch-sets")
-        classes = sets.where("key = id")
-        old_sets = self._before("sets", "id bigint, fp1 bigint, fp2 bigint, elements array<int>", number)
-        same = classes.join(old_sets.select("fp1", "fp2", F.col("id").alias("other")), ["fp1", "fp2"]).select("id", "other")
-        part = F.pmod("unit", F.lit(PARTS)).cast("int")
-        new_postings = classes.select(F.explode("prefix").alias("unit"), "id", "n", "map").withColumn("part", part)
-        old = self._before("postings", "unit bigint, id bigint, n int, map binary, part int", number).join(new_postings.select("unit", "part").distinct(), ["unit", "part"], "left_semi")
-        both = old.select("unit", "id", "n", "map", F.lit(1).alias("side")).unionByName(new_postings.select("unit", "id", "n", "map", F.lit(2).alias("side")))
-        # a pair inside a block must be of the two sides; blocks of a pair hold all pairs across
-        crossed = units.split_hot(materialise(both, "probe"), HOT).withColumn("role", F.when(F.col("role") == 0, F.col("side")).otherwise(F.col("role")))
-        found = units.each_unit(crossed, _matcher(like), "a bigint, b bigint").distinct()
-        turned = found.union(found.select("b", "a")).toDF("a", "b")
-        near = _verified(turned, classes.select("id", "elements"), old_sets.select("id", "elements"), like).toDF("id", "other")
-        hits = same.union(near).groupBy("id").agg(F.min("other").alias("other"))
-        result = materialise(sets.select("key", "id").join(hits, "id").select(F.col("key").alias("record_key"), "other"), "known")
-        fresh = materialise(classes.join(same.select("id").distinct(), "id", "left_anti"), "fresh")
-        fresh.select("id", "fp1", "fp2", "elements").write.mode("overwrite").parquet(f"{self.path}/sets/batch={number}")
-        fresh.select(F.explode("prefix").alias("unit"), "id", "n", "map").withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/batch={number}")
-        return result
+        """(record_key, first_batch): the batch's rows whose id an accepted row has, with the first batch that had it; then accept the batch.
+
+        Rows with a null id or record key are no case; repeated rows each count.
+        """
+        before = self._before(number)
+        with scratch(self.spark, "ids") as own:
+            token = self.name(self.key)
+            rows = materialise(batch.select(F.col(self.record).cast("bigint").alias("record_key"), token.alias("token")).where("token is not null and record_key is not null"), "rows", own)
+            ids = rows.groupBy("token").agg(F.count("*").alias("size")).withColumn("unit", F.xxhash64("token"))
+            held = self.tables["ids"].lookup(ids.select("unit"), before["ids"]).drop("unit")
+            told = Observation()
+            both = materialise(ids.join(held, "token", "left").observe(told, F.count("*").alias("n"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")), "both", own)
+            seen = both.where("first_batch is not null").select("token", "size", "first_batch")
+            fresh = both.where("first_batch is null").select("unit", "token", F.lit(number).alias("first_batch"))
+            with ThreadPoolExecutor(2) as pool:  # two jobs that don't need each other
+                answer = pool.submit(self._answer, units.join_classes(rows, seen, ["token"], largest=told.get["largest"]), number)
+                added = pool.submit(self.tables["ids"].write, fresh, told.get["n"])
+            self._accept(number, before, {"ids": added.result()})
+        return answer.result()
+
+
+def batches_of(df: DataFrame, batch: str, columns: list[str], key: str | None = None) -> list[tuple[int, DataFrame]]:
+    """(number, rows) of a table's batches in ascending order, each read from its own folder; rows without a batch are left out.
+
+    With ``key``, a key delivered more than once is one row: that of its earliest batch, and the least of its contents there.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(batch).isNotNull()).select(F.col(batch).cast("int").alias("batch_no"), *columns)
+    if key is not None:
+        least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("batch_no", *[c for c in columns if c != key])).alias("_r"))
+        rows = least.select(key, "_r.*")
+    path = new_table_path(spark, "batches")
+    rows.hint("rebalance", "batch_no").write.partitionBy("batch_no").parquet(path)
+    schema = rows.select(*columns).schema
+    numbers = sorted(int(n.removeprefix("batch_no=")) for n in names(spark, path) if n.startswith("batch_no="))
+    return [(n, spark.read.schema(schema).parquet(f"{path}/batch_no={n}")) for n in numbers]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import units, words
-from marlstone.session import materialise, small_arrow_batches, whole_words
+from marlstone.session import materialise, whole_words
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def fingerprints(values: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
 def _sketcher(like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = words.seeds(like.hashes, 20)
-        for batch in batches:
+        for batch in words.bounded(batches, 1):
             values, at = elements_of(batch.column(1), like)
             size = np.diff(at)
             keep = np.flatnonzero(size > 0)
@@ -117,7 +117,6 @@ def _sketcher(like: Likeness):
 
 def sketch(df: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """One row per record that has elements. Null keys, null texts and texts without (enough) words have no row."""
-    small_arrow_batches(df.sparkSession)
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), whole_words(text).alias("text"))
     return rows.mapInArrow(_sketcher(like), SKETCH)
 
@@ -127,7 +126,7 @@ def _candidates(like: Likeness):
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         unit, key, role = t["unit"].to_numpy(), t["id"].to_numpy(), t["role"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(unit), like.hashes)
+        sig = words.fixed_bytes(t["sig"], like.hashes)
         base = words.mix(unit.view(np.uint64))
         found = []
         for j in range(half):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import history, leaks, mixing, pairs_quality, sampling, splitting, subjects
 from marlstone.llm.near_duplicates import Duplicates, Likeness, groups, near_duplicates, record_pairs
-from marlstone.session import table
+from marlstone.session import new_table_path, table
 
 #: TESTDATA.md's likeness of questions and of paper texts.
 QUESTIONS = Likeness("bag", 0.7, half=13, rows=3)
@@ -83,9 +84,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
-    papers = history.known_ids(table(spark, d, "papers"), "id", "paper_row", "batch_no")
-    questions = history.replay(table(spark, d, "qa_pairs"), "qa_id", "question", "batch_no", QUESTIONS)
-    return papers.select(F.lit("papers").alias("table_name"), "*").unionByName(questions.select(F.lit("qa_pairs").alias("table_name"), "*"))
+    """The batches in order, each against the indexes of those before; papers and questions side by side."""
+
+    def papers() -> DataFrame:
+        index = history.KnownIds(spark, new_table_path(spark, "paper-ids"), "id", "paper_row")
+        for number, batch in history.batches_of(table(spark, d, "papers"), "batch_no", ["paper_row", "id"]):
+            index.add(batch, number)
+        return index.known()
+
+    def questions() -> DataFrame:
+        path, index = new_table_path(spark, "question-index"), None
+        for number, batch in history.batches_of(table(spark, d, "qa_pairs"), "batch_no", ["qa_id", "question"], key="qa_id"):
+            index = index or history.History(spark, path, QUESTIONS, "qa_id", "question", sample=batch)
+            index.add(batch, number)
+        return index.known() if index else history.KnownIds(spark, path, "qa_id", "qa_id").known()
+
+    with ThreadPoolExecutor(2) as pool:
+        p, q = pool.submit(papers), pool.submit(questions)
+        return p.result().select(F.lit("papers").alias("table_name"), "*").unionByName(q.result().select(F.lit("qa_pairs").alias("table_name"), "*"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -44,6 +44,28 @@ def split_hot(rows: DataFrame, limit: int) -> DataFrame:
     return cold.select(names).unionByName(big.select(names))
 
 
+#: Rows of a key that one task joins; keys with more are spread.
+SPREAD = 1_000_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, on: list[str], largest: int | None = None, limit: int = SPREAD) -> DataFrame:
+    """``rows`` joined to ``classes``, which has one row per key with the ``size`` of the key in ``rows`` (dropped here).
+
+    Keys of more than ``limit`` rows are spread over tasks, each with a copy of the class.
+    ``largest``: the greatest size, where it is known already.
+    """
+    if largest is None:
+        largest = classes.agg(F.max("size")).first()[0] or 0
+    if largest <= limit:
+        return rows.join(classes.drop("size"), on)
+    copies = F.ceil(F.col("size") / limit).cast("int")
+    hot = classes.where(F.col("size") > limit).select(*on, copies.alias("_copies"))
+    # hot keys are no more than the rows divided by the limit
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("_copy", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
+    right = classes.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))).drop("size")
+    return left.join(right, [*on, "_copy"]).drop("_copy")
+
+
 def each_unit(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, rows_at_once: int = 200_000) -> DataFrame:
     """Apply ``work`` to Arrow tables that hold whole units only, sorted by unit.
 

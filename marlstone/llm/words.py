@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _IS_WORD = np.zeros(256, dtype=bool)
@@ -23,6 +24,17 @@ _BASE = _U(0x9E3779B97F4A7C15 | 1)
 CHUNK_BYTES = 4 << 20
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text: int, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes of column ``text``; a longer text stands alone. Bounds what a function holds at once."""
+    for batch in batches:
+        at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        row, n = 0, batch.num_rows
+        while row < n:
+            stop = max(row + 1, min(row + rows, int(np.searchsorted(at, at[row] + size, side="right")) - 1))
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser; spreads every input bit over the result."""
     x = x.astype(np.uint64, copy=True)
@@ -34,6 +46,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fixed_bytes(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """(rows, width) of a binary column without nulls whose values all have ``width`` bytes."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[(lo := int(np.frombuffer(c.buffers()[1], np.int32)[c.offset])) : lo + width * len(c)] for c in chunks if len(c)]
+    flat = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    return flat.reshape(-1, width)
+
+
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)

@@ -4,13 +4,15 @@ import random
 import re
 from collections import Counter
 from dataclasses import replace
+from pathlib import Path
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import history, near_duplicates, units, words
+from marlstone.llm import history, near_duplicates, prefixes, units, words
 from marlstone.llm.near_duplicates import Likeness
 from marlstone.session import new_table_path
 
@@ -79,7 +81,8 @@ def test_empty_and_worthless_input(spark):
     for texts in ([], [None, "", "?"]):
         found = near_duplicates.near_duplicates(frame(spark, texts), "my_id", "body", BAG)
         assert found.members.count() == 0 and near_duplicates.record_pairs(found).count() == 0 and near_duplicates.groups(found).count() == 0
-        assert history.replay(frame(spark, texts), "my_id", "body", "month", BAG).count() == 0
+        exact = prefixes.exact_duplicates(frame(spark, texts), "my_id", "body", BAG)
+        assert exact.members.count() == 0 and exact.pairs.count() == 0
 
 
 def test_very_long_text(spark):
@@ -121,42 +124,86 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("hot", [20_000, 3])
-def test_replay_against_brute_force(spark, hot):
+@pytest.mark.parametrize("like", [BAG, RUNS])
+def test_exact_pairs_against_brute_force(spark, like, hot):
     texts = corpus(seed=5)
+    found = prefixes.exact_duplicates(frame(spark, texts), "my_id", "body", like, hot=hot)
+    assert {tuple(r) for r in near_duplicates.record_pairs(found).collect()} == all_pairs(texts, like)
+
+
+@pytest.mark.parametrize("hot, part_rows", [(20_000, 1 << 18), (3, 20)])
+def test_history_against_brute_force(spark, hot, part_rows):
+    """Batch by batch, also with small parts, merged segments and every unit of more than 3 rows cut into blocks."""
+    texts = corpus(seed=7)
     rnd = random.Random(2)
-    batches = [rnd.choice([1, 2, 3, 4, None]) for _ in texts]
-    got = {(r["record_key"], r["first_batch"]) for r in history.replay(frame(spark, texts, batches), "my_id", "body", "month", BAG, hot=hot).collect()}
+    batches = [rnd.choice([1, 2, 3, 4, 5, None]) for _ in texts]
+    df = frame(spark, texts, batches)
+    path = new_table_path(spark, "index")
+    history.History(spark, path, BAG, "my_id", "body", sample=df.where("month = 1"))
+    for b in (1, 2, 3, 3, 4, 5):  # one of them again: it replaces itself
+        index = history.History(spark, path, BAG, "my_id", "body", hot=hot, part_rows=part_rows, fan_in=3)
+        index.add(df.where(F.col("month") == b), b)
     want = {}
     for i, j in all_pairs(texts, BAG):
         for x, y in ((i, j), (j, i)):
             if batches[x] and batches[y] and batches[y] < batches[x]:
                 want[x] = min(want.get(x, 9), batches[y])
-    assert got == set(want.items())
+    assert {(r["record_key"], r["batch_no"], r["first_batch"]) for r in index.known().collect()} == {(k, batches[k], v) for k, v in want.items()}
+    # the index holds each text once
+    held = index._load(5)["sets"]
+    sets = [tuple(r["elements"]) for r in spark.read.option("recursiveFileLookup", True).parquet(*[f"{path}/sets/{s.name}" for s in held]).collect()]
+    assert len(sets) == len(set(sets))
+    with pytest.raises(ValueError, match="comes after"):
+        index.add(df, 4)
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_growing_index_finds_what_a_replay_finds(spark, monkeypatch, hot):
-    monkeypatch.setattr(history, "HOT", hot)
-    texts = corpus(60, seed=7)
-    batches = [1 + i % 3 for i in range(len(texts))]
-    df = frame(spark, texts, batches)
-    path = new_table_path(spark, "index")
-    history.History(spark, path, BAG, "my_id", "body", sample=df.where("month = 1"))
-    got = set()
-    for b in (1, 2, 3, 3):  # the last one again: it replaces itself
-        index = history.History(spark, path, BAG, "my_id", "body")
-        got |= {r["record_key"] for r in index.add(df.where(F.col("month") == b), b).collect()}
-    assert got == {r["record_key"] for r in history.replay(df, "my_id", "body", "month", BAG).collect()}
-    # the index holds each text once
-    held = spark.read.parquet(path + "/sets")
-    assert held.count() == held.select("fp1", "fp2").distinct().count()
+def test_history_without_batches_or_texts(spark):
+    df = frame(spark, [None, "", "?"])
+    index = history.History(spark, new_table_path(spark, "index"), BAG, "my_id", "body", sample=df)
+    assert index.known().count() == 0
+    assert index.add(df, 1).count() == 0 and index.add(df, 2).count() == 0
+    assert history.batches_of(df.limit(0), "month", ["my_id", "body"]) == []
+
+
+def test_a_batch_reads_its_own_parts(spark):
+    """A fixed batch opens as many bytes of a history ten times as long."""
+    rnd = random.Random(3)
+
+    def texts(n):
+        return spark.createDataFrame([(rnd.randrange(1 << 40), " ".join(f"w{rnd.randrange(40_000)}" for _ in range(12))) for _ in range(n)], "k bigint, t string")
 
+    batch, opened = texts(3), {}
+    for size in (1000, 10_000):
+        index = history.History(spark, new_table_path(spark, "index"), BAG, "k", "t", sample=texts(10), part_rows=64)
+        index.add(texts(size), 1)
+        probe = prefixes.postings(prefixes.classes_of(prefixes.prepared(batch, "k", "t").mapInArrow(prefixes.indexer(BAG, *index.order), prefixes.SETS)), BAG.threshold, (-1, 0, 1))
+        files = index.tables["postings"].lookup(probe.select("unit"), index._load(1)["postings"]).inputFiles()
+        opened[size] = sum(Path(f.removeprefix("file:")).stat().st_size for f in map(unquote, files))
+        assert index.add(batch, 2).count() == 0
+    assert opened[10_000] < 2 * opened[1000]
 
-def test_paper_ids(spark):
+
+def test_known_ids(spark):
     same = ["2307.0000015v1", "2307.0000015", " arXiv:2307.0000015v12 ", "https://preprints.example/abs/2307.0000015v3/", "2307.0000015V2", "http://x.org/pdf/2307.0000015v1.pdf"]
     df = spark.createDataFrame([(i, s, i) for i, s in enumerate([*same, None, "", "2307.0000016v1"])], "n bigint, paper string, b int")
     assert {r["k"] for r in df.limit(len(same)).select(history.paper_key("paper").alias("k")).collect()} == {"2307.0000015"}
-    assert {r["record_key"] for r in history.known_ids(df, "paper", "n", "b").collect()} == set(range(1, len(same)))
+    index = history.KnownIds(spark, new_table_path(spark, "ids"), "paper", "n", part_rows=1, fan_in=2)
+    for number, batch in history.batches_of(df, "b", ["n", "paper"]):
+        index.add(batch, number)
+    assert {tuple(r) for r in index.known().collect()} == {(i, i, 0) for i in range(1, len(same))}
+
+
+def test_a_key_delivered_again_is_one_record(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "c", 1), (None, "a", 1), (2, "a", None)], "k bigint, t string, b int")
+    got = {n: [tuple(r) for r in rows.collect()] for n, rows in history.batches_of(df, "b", ["k", "t"], key="k")}
+    assert got == {1: [(1, "a")]}
+
+
+def test_hot_classes_are_spread(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("c"), "id")
+    classes = rows.groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    got = units.join_classes(rows, classes, ["c"], limit=50)
+    assert sorted(map(tuple, got.select("id", "least").collect())) == [(i, 0 if i < 900 else i) for i in range(1000)]
 
 
 def test_units_of_a_stream_stay_whole(spark):
