@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import prefixes, units
 from marlstone.llm.near_duplicates import Likeness
-from marlstone.llm.parted import FAN_IN, PART_ROWS, Parted, Segment
+from marlstone.llm.parted import FAN_IN, PART_ROWS, Parted, Segment, no_rows
 from marlstone.session import delete, exists, materialise, names, new_table_path, read_text, scratch, write_text
 
 KNOWN = "record_key bigint, first_batch int"
@@ -70,6 +70,8 @@ class _Growing:
             table.forget([*before[t], *now[t]])
         for n in sorted(self._manifests())[:-2]:
             delete(self.spark, f"{self.path}/manifests/{n:012d}.json")
+        # what the batch shuffled and broadcast is dropped once the driver has collected its handles
+        self.spark._jvm.System.gc()
 
     def _answer(self, known: DataFrame, number: int) -> DataFrame:
         path = f"{self.path}/known/batch_no={number}"
@@ -80,7 +82,7 @@ class _Growing:
         """(record_key, batch_no, first_batch): the answers to all batches so far."""
         path = f"{self.path}/known"
         if not exists(self.spark, path):
-            return self.spark.createDataFrame([], "record_key bigint, batch_no int, first_batch int")
+            return no_rows(self.spark, "record_key bigint, batch_no int, first_batch int")
         return self.spark.read.schema(KNOWN + ", batch_no int").parquet(path).select("record_key", "batch_no", "first_batch")
 
 
@@ -126,12 +128,12 @@ class History(_Growing):
             total = told.get
             fresh, known = classes, None
             if before["postings"] and total["n"]:
-                near = materialise(self._near(classes, before, total["postings"], own), "near", own)
-                hits = near.groupBy(F.col("a").alias("id")).agg(F.min("batch").alias("first_batch"))
-                known = units.join_classes(sets.select("key", "fp1", "fp2").distinct(), classes.select("id", "fp1", "fp2", "size").join(hits, "id"), ["fp1", "fp2"], largest=total["largest"]).groupBy(F.col("key").alias("record_key")).agg(F.min("first_batch").alias("first_batch"))
-                fresh = classes.join(near.where("similarity = 1").select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+                near = self._near(classes, before, total["postings"], own)
+                hits = materialise(near.groupBy(F.col("a").alias("id")).agg(F.min("batch").alias("first_batch"), F.max(F.col("similarity") == 1).alias("same")), "hits", own)
+                known = units.join_classes(sets.select("key", "fp1", "fp2"), classes.select("id", "fp1", "fp2", "size").join(hits, "id"), ["fp1", "fp2"], largest=total["largest"]).groupBy(F.col("key").alias("record_key")).agg(F.min("first_batch").alias("first_batch"))
+                fresh = classes.join(hits.where("same").select("id"), "id", "left_anti")
             with ThreadPoolExecutor(3) as pool:  # three jobs that don't need each other
-                answer = pool.submit(self._answer, known if known is not None else self.spark.createDataFrame([], KNOWN), number)
+                answer = pool.submit(self._answer, known if known is not None else no_rows(self.spark, KNOWN), number)
                 added = {
                     "postings": pool.submit(self.tables["postings"].write, prefixes.postings(fresh, self.like.threshold).drop("side"), total["postings"]),
                     "sets": pool.submit(self.tables["sets"].write, fresh.select("id", "elements", F.lit(number).alias("batch")), total["n"]),

@@ -39,6 +39,11 @@ class Segment:
         return asdict(self)
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table that costs no task."""
+    return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("r")).select("r.*")
+
+
 def _part(key: str, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits) if bits else F.lit(0).cast("bigint")
 
@@ -51,7 +56,7 @@ class Parted:
 
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(*paths)
 
     def lookup(self, keys: DataFrame, segments: list[Segment]) -> DataFrame:
@@ -76,7 +81,9 @@ class Parted:
         bits = max(0, (about // self.part_rows).bit_length())
         name = uuid.uuid4().hex
         root = f"{self.path}/{name}"
-        rows.withColumn("part", _part(self.key, bits)).hint("rebalance", "part").write.partitionBy("part").parquet(root)
+        placed = rows.withColumn("part", _part(self.key, bits))
+        # a single part is one file; more of them are spread, the large ones over several tasks
+        (placed.hint("rebalance", "part") if bits else placed.coalesce(1)).write.partitionBy("part").parquet(root)
         parts = sorted(int(n.removeprefix("part=")) for n in names(self.spark, root) if n.startswith("part="))
         return Segment(name, bits, about, tier, tuple(parts))
 
