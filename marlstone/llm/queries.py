@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,24 +84,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
-    """The batches in order, each against the indexes of those before; papers and questions side by side."""
-
-    def papers() -> DataFrame:
-        index = history.KnownIds(spark, new_table_path(spark, "paper-ids"), "id", "paper_row")
-        for number, batch in history.batches_of(table(spark, d, "papers"), "batch_no", ["paper_row", "id"]):
-            index.add(batch, number)
-        return index.known()
-
-    def questions() -> DataFrame:
-        path, index = new_table_path(spark, "question-index"), None
-        for number, batch in history.batches_of(table(spark, d, "qa_pairs"), "batch_no", ["qa_id", "question"], key="qa_id"):
-            index = index or history.History(spark, path, QUESTIONS, "qa_id", "question", sample=batch)
-            index.add(batch, number)
-        return index.known() if index else history.KnownIds(spark, path, "qa_id", "qa_id").known()
-
-    with ThreadPoolExecutor(2) as pool:
-        p, q = pool.submit(papers), pool.submit(questions)
-        return p.result().select(F.lit("papers").alias("table_name"), "*").unionByName(q.result().select(F.lit("qa_pairs").alias("table_name"), "*"))
+    """The batches in order, each against the indexes of those before."""
+    papers = history.KnownIds(spark, new_table_path(spark, "paper-ids"), "id", "paper_row")
+    for number, batch in history.batches_of(table(spark, d, "papers"), "batch_no", ["paper_row", "id"]):
+        papers.add(batch, number)
+    path, questions = new_table_path(spark, "question-index"), None
+    for number, batch in history.batches_of(table(spark, d, "qa_pairs"), "batch_no", ["qa_id", "question"], key="qa_id"):
+        questions = questions or history.History(spark, path, QUESTIONS, "qa_id", "question", sample=batch)
+        questions.add(batch, number)
+    known = [("papers", papers)] + ([("qa_pairs", questions)] if questions else [])
+    out = [index.known().select(F.lit(name).alias("table_name"), "*") for name, index in known]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
