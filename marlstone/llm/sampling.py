@@ -59,18 +59,14 @@ def seats(counts: dict[str, int], targets: dict[str, tuple[float, int]], size: i
         if open_:
             got |= at(lo)
         left = n - (sum(got.values()) - sum(start.values()))
-        while left > 0:
-            rest = [c for c in open_ if got[c] < most[c]]
-            if not rest:
-                # categories without a target share come last
-                rest = [c for c in targets if got[c] < most[c]]
-                if not rest:
-                    break
-                c = min(rest)
-            else:
-                c = min(rest, key=lambda x: (Fraction(2 * got[x] + 1, 2) / weight[x], x))
-            got[c] += 1
+        # the bisection leaves fewer seats than there are categories
+        while left > 0 and (rest := [c for c in open_ if got[c] < most[c]]):
+            got[min(rest, key=lambda x: (Fraction(2 * got[x] + 1, 2) / weight[x], x))] += 1
             left -= 1
+        for c in sorted(targets):  # categories without a target share come last
+            more = min(left, most[c] - got[c])
+            got[c] += more
+            left -= more
         return got
 
     none = dict.fromkeys(targets, 0)
