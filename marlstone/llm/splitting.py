@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import small_arrow_batches
+from marlstone.llm import words
 
 #: Words compared on either side of a gap.
 BLOCK = 24
@@ -125,12 +125,12 @@ def _cutter(max_chars: int, overlap: int):
     schema = pa.schema([("row_key", pa.int64()), ("piece_no", pa.int32()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("boundary", pa.string()), ("piece", pa.string()), ("over_limit", pa.bool_()), ("no_boundary", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
+        for batch in words.bounded(batches, 1, rows=64, size=1 << 20):
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 stretch = has_long_stretch(text, max_chars)
-                rows = [(key, i, a, b, kind, text[a:b], True, stretch) for i, (a, b, kind) in enumerate(cut(text, max_chars, overlap))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows += [(key, i, a, b, kind, text[a:b], True, stretch) for i, (a, b, kind) in enumerate(cut(text, max_chars, overlap))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
@@ -146,7 +146,6 @@ def split_texts(df: DataFrame, key: str, text: str, max_chars: int, overlap: int
     """
     if not 0 <= overlap < max_chars:
         raise ValueError("the overlap must be smaller than the limit")
-    small_arrow_batches(df.sparkSession, 64)
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("piece"))
     long = rows.where(F.length("piece") > max_chars).mapInArrow(_cutter(max_chars, overlap), PIECES)
     short = rows.where(F.length("piece") <= max_chars).select(

@@ -62,7 +62,7 @@ def test_leaks_whole_part_and_reworded(spark):
     assert {k for k, r in got.items() if r["longest_run"] >= 12} == {1, 2}
     assert got[4]["agreeing_words"] > 12 and got[4]["longest_run"] < 12 and 3 not in got
     assert got[1]["doc_word"] == 1 and got[1]["agreeing_words"] == len(w)
-    # items in many blocks give the same
+    # more items than a block holds are joined by hash and give the same
     again = leaks.leaked_items(docs, items, block_bytes=60).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got.values()))
     assert leaks.leaked_items(docs.limit(0), items).count() == 0 and leaks.leaked_items(docs, items.limit(0)).count() == 0
@@ -198,10 +198,11 @@ def test_report_counts_the_sample(spark):
 
 
 def test_cut_poisson_has_the_wanted_mean():
-    for most in (1, 2, 4, 9):
+    for most in (1, 2, 4, 9, 1000):
         for rate in (0.0, 0.01, 0.5 * most, 0.99 * most, most, most + 1):
             below = mixing.cut_poisson(rate, most)
             assert abs(sum(1 - x for x in below) - min(rate, most)) < 1e-6 and below == sorted(below)
+    assert abs(sum(1 - x for x in mixing.cut_poisson(950, 1000)) - 950) < 1e-6
 
 
 def test_mixture(spark):
@@ -232,11 +233,46 @@ def test_falling_short_follows_the_replication(spark):
     assert [r["source"] for r in m.report().where("falls_short").collect()] == ["c"]
 
 
-def test_long_text_is_counted_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "PART", 50)
-    whole = " ".join(["token"] * 100)
-    count = mixing._counter(mixing.TOKENIZER)
-    import pyarrow as pa
+def test_long_text_is_counted_as_a_whole(monkeypatch):
+    """Parts end where the pattern cuts, so the tokens are those of the whole text, with and without spaces."""
+    import base64
+
+    import tiktoken
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["s"]), pa.array([whole])], names=["a", "b", "c"])
-    assert abs(next(count([batch])).column(2)[0].as_py() - 100) < 3 
+    with open(mixing.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("own", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = ["token " * 100, "\n\n  don't, 3.14 été\t中文 x" * 30, "antidisestablishmentarianism" * 20, "a1" * 300, " \n" * 200, ""]
+    whole = [encode(t) for t in texts]
+    monkeypatch.setattr(mixing, "PART", 50)
+    for t, w in zip(texts, whole):
+        parts = list(mixing.parts_of(t))
+        assert "".join(parts) == t and [x for p in parts for x in encode(p)] == w
+    assert len(list(mixing.parts_of(texts[1]))) > 5 and len(list(mixing.parts_of(texts[3]))) > 5
+
+
+def test_copies_of_a_repeated_key(spark):
+    """A key given three times is three documents, in the report and in the mixture."""
+    docs = spark.createDataFrame([(1, "one two", "a")] * 3 + [(2, "three", "b")] * 30, "doc_id bigint, text string, source string")
+    m = mixing.Mixture(docs, spark.createDataFrame([("a", 0.9, 2), ("b", 0.1, 1)], "source string, target_share double, max_repeats int"))
+    a = m.rows().where("source = 'a'").collect()
+    assert len(a) == 6 and {x["copy_no"] for x in a} == {1, 2}
+    assert {r["source"]: r["mixed_tokens"] for r in m.report().collect()}["a"] == 2 * m.own["a"]
+
+
+def test_leaks_by_substitution_rate():
+    """Of passages that an exhaustive search accepts, at least nine in ten are hit by a mask, at 5 to 20 % substitutions."""
+    rng = np.random.default_rng(5)
+    masks = np.array([[c == "1" for c in m] for m in leaks.MASKS])
+    for words_, rate in ((15, 0.05), (15, 0.2), (20, 0.1), (20, 0.2), (30, 0.2)):
+        bad = np.zeros((3000, words_), bool)
+        for r in bad:
+            r[rng.choice(np.arange(1, words_ - 1), round(rate * words_), replace=False)] = True
+        windows = np.lib.stride_tricks.sliding_window_view(bad, leaks.SPAN, axis=1)
+        hit = ~(windows[:, :, None, :] & masks).any(axis=3)
+        assert hit.any(axis=(1, 2)).mean() >= 0.9, (words_, rate)
+    for n in range(4, 12):  # a substitution at every n-th word
+        for first in range(n):
+            bad = np.arange(40) % n == first
+            windows = np.lib.stride_tricks.sliding_window_view(bad, leaks.SPAN)
+            assert (~(windows[:, None, :] & masks).any(axis=2)).any()
