@@ -13,7 +13,9 @@ the first one found is given.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import importlib.resources
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,49 +24,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import words
+from marlstone.llm import refusals, words
 from marlstone.session import materialise
 
 DEFECTS = ("empty_answer", "copies_question", "refusal", "other_language", "truncated_answer")
 
 #: Stand-ins for no value.
 NO_VALUE = {"none", "null", "nil", "nan", "na", "n a", "undefined", "tbd", "todo", "empty", "no answer", "unknown", "missing"}
-#: Refusal templates in English, German, French and Spanish.
-REFUSALS = (
-    "i cannot answer this question", "i can't answer this", "i am unable to answer", "i'm unable to help", "i can't help with this", "i cannot help with that", "i cannot provide an answer",
-    "i am not able to", "i'm not able to", "i do not know how to answer", "i don't know how to answer", "i don't have what is needed to respond", "i do not have enough information",
-    "i would rather not state", "i'd rather not answer", "i won't attempt this", "i will not answer", "i have to decline", "i must decline", "i must refrain from", "i refuse to answer",
-    "it is not possible for me to", "this lies outside what i may answer", "my guidelines do not permit me", "my instructions forbid", "this request was declined", "unable to comply",
-    "cannot provide a solution", "no answer will be given", "please ask somebody else", "please ask someone else", "as an automated assistant i", "as an ai language model i",
-    "diese frage kann ich leider nicht beantworten", "dazu möchte ich keine antwort geben", "dabei kann ich nicht helfen", "das kann ich nicht beantworten", "ich kann diese frage nicht beantworten",
-    "je préfère ne pas répondre", "je ne peux pas vous aider", "il m'est impossible de traiter cette demande", "je ne peux pas répondre à cette question", "je ne suis pas en mesure de",
-    "no puedo responder a esta pregunta", "no puedo ayudar con", "lo siento no puedo", "prefiero no responder",
-)
-#: Frequent function words by language.
-FUNCTION_WORDS = {
-    "en": "the of and is are was to for that in with which because by such there it this not equals so be has have an as on from what how many find let suppose value namely those hence given since every once",
-    "de": "der die das und ist sind wie den dem des ein eine für von mit im zu nicht es gibt weil auf aus sich dass man da jede beträgt hängt genau solche lautet welche viele sei seien und zwar wobei",
-    "fr": "le la les et est sont des du une un pour de que qui dans ne pas il existe car avec par on puisque chaque vaut dépend égal à au aux quelle combien soit où selon savoir ce cette",
-    "es": "el la los las y es son de del una un para que en no hay porque con por se cada vale depende igual a este esta cuál cuántas sea donde según saber exactamente soluciones tipo",
-    "it": "il lo la gli le e è sono di del della una un per che in non ci poiché con da si ogni vale dipende uguale questo questa esistono esattamente soluzioni tipo affatto cercato valore l'ordine",
-    "pl": "i jest są z na do że nie się w dla który ponieważ każdy istnieje dokładnie takich rozwiązań szukana wartość wynosi rząd równy stała zależy od",
-    "pt": "o os as e é são do da uma um para que em não há porque com por se cada depende igual este esta existem exatamente soluções tipo valor",
-    "nl": "de het een en is zijn van voor met niet er omdat op uit dat elke waarde precies oplossingen hangt af",
-}
 #: Words and signs that cannot end a sentence.
 OPEN_ENDS = set("the a an of to for with by and or that which because is are has have be equals equal exactly in on from as than such then therefore hence so if when while der die das und ist ein eine von mit für dass weil den dem le la les et est des du de un une que qui pour par el los las y es del en e di il".split())
 
+#: Scripts by code points, and the languages of the list that are written in them.
+SCRIPTS = (("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("latin", 0x1E00, 0x1EFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7A3))
+WRITTEN_IN = {"greek": ("el",), "cyrillic": ("ru", "uk", "bg"), "latin": ("vi",)}
+_OTHER_SCRIPTS = {l for script, languages in WRITTEN_IN.items() if script != "latin" for l in languages}
+
 _MATH = re.compile(r"\$[^$]*\$")
+_OPEN_MATH = re.compile(r"\$[^$]*(?:\$|$)")
 _WORDS = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_ELIDED = re.compile(r"[^\W\d_]+'?")
+_LEAD = re.compile(r"^(?:\W*\w+){1,5}\W*:\s+(.+)", re.DOTALL)
 _SENTENCE = re.compile(r"[.!?;:](?=\s)")
 _MARKUP = re.compile(r"\\[a-z]+\s*(?:\{\s*\})+|<[^<>]*>|&[a-z]+;")
 _CUT = re.compile(r"(?:\.\.\.+|…|\[(?:cut|truncated|\.\.\.|…)\]|[-–—,:;(\[{\\])\s*$")
 _STOP = re.compile(r"[.!?。！？][\"'”’)\]]*\s*$")
 _TOKEN = re.compile(r"\x01|\d(?:[\d.,/]*\d)?|[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?。！？]")
 _STOPS = frozenset(".!?。！？")
-_TEMPLATES = [_WORD.findall(t.replace("’", "'")) for t in REFUSALS]
-_LANGUAGES = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+
+
+@functools.cache
+def function_words() -> dict[str, list[str]]:
+    """The languages that each word is a function word of; the list may lie in the archive that Spark handed out."""
+    out: dict[str, list[str]] = {}
+    for line in importlib.resources.files(__package__).joinpath("function_words.tsv").read_text(encoding="utf-8").splitlines():
+        if line and not line.startswith("#"):
+            language, words_ = line.split("\t")
+            for w in set(words_.split()):
+                out.setdefault(w, []).append(language)
+    return out
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -90,59 +88,54 @@ def is_empty(answer: str | None) -> bool:
 
 
 def copies(question: str, answer: str) -> bool:
-    a, q = _WORDS.findall(answer.lower()), _WORDS.findall(question.lower())
-    if len(a) < 5 or len(q) < 5:
-        return False
-    have = set(q)
-    if sum(x in have for x in a) < 0.7 * len(a):
-        return False
-    body = a[2:] if a[:2] == ["we", "are"] else a
-    for lead in (["asked"], ["answer"], ["question"]):
-        if body[:1] == lead:
-            body = body[1:]
-    if len(body) < 5:
-        return False
-    pairs = set(zip(q, q[1:]))
-    shared = sum(x in pairs for x in zip(body, body[1:])) / (len(body) - 1)
-    return shared >= 0.7 or common_subsequence(body, q) >= 0.8 * len(body)
-
-
-def refuses(answer: str) -> bool:
-    """Whether a clause, wherever it stands, follows a refusal template: nearly all its words in order and close together."""
-    text = _MATH.sub(" ", answer.lower().replace("’", "'"))
-    for part in _SENTENCE.split(text):
-        w = _WORD.findall(part)
-        if not w:
+    """Whether the answer gives back the question, or its final sentence, perhaps after a short lead that ends in a colon."""
+    q = _WORDS.findall(question.lower())
+    for text in (answer, *_LEAD.findall(answer)):
+        a = _WORDS.findall(text.lower())
+        if not a or not q:
+            continue
+        if len(a) < 5 or len(q) < 5:
+            # too short to align: the same words, and more than a number or name
+            if len(a) > 1 and a in (q, _WORDS.findall(_SENTENCE.split(question.strip())[-1].lower())):
+                return True
+            continue
+        have = set(q)
+        if sum(x in have for x in a) < 0.7 * len(a):
             continue
-        own = set(w)
-        for t in _TEMPLATES:
-            if sum(x in own for x in t) < 0.85 * len(t):
-                continue
-            for i in range(max(1, len(w) - len(t))):
-                if common_subsequence(t, w[i : i + len(t) + 1]) >= 0.85 * len(t):
-                    return True
+        pairs = set(zip(q, q[1:]))
+        shared = sum(x in pairs for x in zip(a, a[1:])) / (len(a) - 1)
+        if shared >= 0.7 or common_subsequence(a, q) >= 0.8 * len(a):
+            return True
     return False
 
 
 def language(text: str) -> tuple[str | None, dict[str, int], int]:
     """(language or None, function words by language, words)."""
-    plain = _MATH.sub(" ", text)
+    plain = _OPEN_MATH.sub(" ", text)
     scripts: dict[str, int] = {}
     for c in plain:
-        if c.isalpha() and ord(c) > 0x370:
-            s = "zh" if 0x3040 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7A3 else "ru" if 0x400 <= ord(c) <= 0x52F else "el" if ord(c) < 0x400 else "other"
+        if c.isalpha() and ord(c) > 0x24F:
+            s = next((name for name, low, high in SCRIPTS if low <= ord(c) <= high), "other")
             scripts[s] = scripts.get(s, 0) + 1
-    words = _WORD.findall(plain.lower())
-    if scripts and sum(scripts.values()) > 0.3 * sum(map(len, words)):
-        return max(scripts, key=scripts.get), {}, len(words) + sum(scripts.values())
-    score = {k: sum(w in v for w in words) for k, v in _LANGUAGES.items()}
-    best = max(score, key=score.get)
-    return (best if score[best] >= 2 else None), score, len(words)
+    tokens = _ELIDED.findall(plain.lower().replace("’", "'"))
+    known = function_words()
+    score: dict[str, int] = {}
+    for w in tokens:
+        for l in known.get(w) or known.get(w.rstrip("'"), ()):
+            score[l] = score.get(l, 0) + 1
+    if scripts and sum(scripts.values()) > 0.3 * sum(map(len, tokens)):
+        script = max(scripts, key=scripts.get)
+        own = {l: n for l, n in score.items() if l in WRITTEN_IN.get(script, ())}
+        return (max(own, key=own.get) if own else script), own, len(tokens) + sum(scripts.values())
+    score = {l: n for l, n in score.items() if l not in _OTHER_SCRIPTS}
+    best = max(score, key=score.get, default=None)
+    return (best if best and score[best] >= 2 else None), score, len(tokens)
 
 
 def other_language(question: str, answer: str) -> bool:
+    """A worded answer whose language, by function words or script, is not the question's; more function words of it than of the question's are needed."""
     mine, score, n = language(answer)
-    if mine is None or n < 4:
+    if mine is None or n < 2:
         return False
     asked, _, _ = language(question)
     return asked is not None and mine != asked and score.get(mine, 9) > score.get(asked, 0)
@@ -190,7 +183,7 @@ def judge(question: str | None, answer: str | None) -> tuple[str | None, str | N
         return "empty_answer", None, None
     if question and copies(question, answer):
         return "copies_question", None, None
-    if refuses(answer):
+    if refusals.refuses(_MATH.sub(" ", answer)):
         return "refusal", None, None
     if question and other_language(question, answer):
         return "other_language", None, None

@@ -104,6 +104,7 @@ def test_calibration_follows_most_labellers(spark):
     ("What is the value of x?", None, "empty_answer"), ("What?", " \xa0\n", "empty_answer"), ("What?", "\\text{}", "empty_answer"), ("What?", "N/A.", "empty_answer"), ("What?", "<p></p>", "empty_answer"), ("What?", "0", None), ("What?", "当", None),
     ("How many tilings of rank five does the board admit?", "We are asked: How many tilings of rank five does the board admit", "copies_question"),
     ("How many tilings of rank five does the board admit?", "The board admits exactly $5$ tilings of that sort.", None),
+    ("What is x?", "What is x?", "copies_question"), ("What is x?", "x", None), ("Let n be odd. What is x?", "Question: what is x", "copies_question"), ("What is x?", "What is x? It is $4$.", None),
     ("Q", "I'm sorry, but I can't help with this one.", "refusal"), ("Q", "Diese Frage kann ich leider nicht beantworten.", "refusal"),
     ("Q", "One is unable to do better than $5$, and this value is attained.", None), ("Q", "Sorry-type sequences have length 4.", None), ("Q", "I denotes the identity, and I cannot be replaced: the answer is $4$.", None),
     ("How many of the classes are fixed by the map?", "Es gibt genau 4 solche Klassen, und zwar für die Abbildung.", "other_language"), ("How many?", "Искомое значение равно $4$, так как порядок равен 5.", "other_language"),
