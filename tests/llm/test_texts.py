@@ -93,11 +93,35 @@ def test_calibration_follows_most_labellers(spark):
     finds = spark.createDataFrame([(1, 1, [0], [0], [False]), (2, 1, [0], [1], [False]), (3, 2, [0, 1], [2, 1], [False] * 2)], subjects.FINDS)
 
     def least(labels, most=9):
-        return subjects._calibrated(finds, spark.createDataFrame(labels, "doc_id bigint, subject string, labeller string"), ["a", "b"], [(0,), (0,), (1,)], np.array([0.6, 0.8, 0.6]), 0.25, most)
+        return subjects._calibrated(finds, spark.createDataFrame(labels, "doc_id bigint, subject string, labeller string"), ["a", "b"], [{0: 1.0}, {0: 1.0}, {1: 1.0}], np.array([0.6, 0.8, 0.6]), 0.25, most).tolist()
 
-    assert least([(1, "b", "x"), (1, "b", "y"), (1, "a", "z"), (2, "a", "x")]) == 0.7
+    assert least([(1, "b", "x"), (1, "b", "y"), (1, "a", "z"), (2, "a", "x")]) == [0.7, 0.7]
     for first, last in ("ab", "ba"):
-        assert least([(3, first, "x"), (3, last, "x"), (4, "a", "x")], most=1) == 0.55
+        assert least([(3, first, "x"), (3, last, "x"), (4, "a", "x")], most=1) == [subjects.DEFAULT_THRESHOLD] * 2
+
+
+def test_a_threshold_for_each_subject(spark):
+    """With enough labels of it, a subject has its own; a minority of weak finds is right for one and wrong for the other."""
+    finds = spark.createDataFrame([(i, 1, [0], [0 if i < 30 else 1], [False]) for i in range(60)] + [(100 + i, 1, [0], [2], [False]) for i in range(60)], subjects.FINDS)
+    labels = spark.createDataFrame([(i, "a", "x") for i in range(60)] + [(100 + i, "b" if i < 30 else "a", "x") for i in range(60)], "doc_id bigint, subject string, labeller string")
+    where = [{0: 0.35}, {0: 0.9}, {1: 0.35}]
+    got = subjects._calibrated(finds, labels, ["a", "b"], where, np.ones(3), 0.25, 500)
+    assert got[0] <= 0.3 and got[1] <= 0.3
+    labels = labels.selectExpr("doc_id", "if(doc_id < 30, 'b', subject) as subject", "labeller")
+    got = subjects._calibrated(finds, labels, ["a", "b"], where, np.ones(3), 0.25, 500)
+    assert got[0] >= 0.4 and got[1] <= 0.3
+
+
+def test_rarity_has_no_bound():
+    r = subjects.rarity_of(np.array([0, 1, 10, 1000, 100_000]), 100_000)
+    assert r[0] == r[1] > r[2] > r[3] > 0.2 and r[4] == 0 and (subjects.rarity_of(np.zeros(3), 5) == 1).all()
+
+
+def test_terms_have_weights():
+    names, terms = subjects.lexicon()
+    weight = {t: {names[s]: w for s, w in own.items()} for t, own in terms}
+    assert weight["plaintiff"] == {"law": 1.0} and weight["judge"] == {"law": 0.5} and weight["general relativity"] == {"physics": 2.0}
+    assert len(weight["kernel"]) == 3 and sum(weight["kernel"].values()) == 0.5
 
 
 @pytest.mark.parametrize("question, answer, want", [
