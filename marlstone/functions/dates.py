@@ -18,6 +18,11 @@ def month_key(c: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"), "yyyy-MM"), F.lit(NO_MONTH))
 
 
+def month_key_of(told: Column, epoch: Column) -> Column:
+    """The month of a date text or, where there is none, of seconds since 1970; unreadable ones have the stand-in."""
+    return F.when(told.isNull() & epoch.isNotNull(), F.date_format(F.timestamp_seconds(epoch), "yyyy-MM")).otherwise(month_key(told))
+
+
 def month_start(c: Column) -> Column:
     return F.to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd")
 

@@ -29,6 +29,7 @@ NUMBERS = (
     r"(?i)(?:Theorem|theorem)[\s~]*(?:\\ref\{[^}]*\}|([0-9.]+))", r"(?i)(?:Theorem|theorem)[\s~]*([0-9]+\.[0-9]+)", r"(?i)(?:Theorem|theorem)[\s~]*([0-9]+)",
 )
 NEAR = 1000
+#: Sections, declared environments and labels.
 SECTION = r"\\section\s*(?:\[.*?\])?\s*\{([^}]*)\}"
 NEWTHEOREM = r"\\newtheorem\{([^}]+)\}\{([^}]+)\}"
 LABEL = r"\\label\{(.*?)\}"
@@ -174,6 +175,23 @@ def nearby_number(text: Column, start: Column, end: Column, label: Column) -> Co
     return F.coalesce(*told, F.nullif(F.regexp_extract(label, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")))
 
 
+def counters(found: Column) -> Column:
+    """The running number of each of a text's statements among those of its environment."""
+    return F.transform(found, lambda s, i: F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda x: x["env"] == s["env"])))
+
+
+def display_name(c: Column, env: Column) -> Column:
+    """What a statement is called: its environment's declared name, ``Theorem`` for the standard one."""
+    own = F.concat(F.lit(r"\\newtheorem\{\Q"), env, F.lit(r"\E\}\{([^}]+)\}"))
+    return F.when(env != "theorem", F.nullif(F.call_function("regexp_extract", c, own, F.lit(1)), F.lit(""))).otherwise(F.lit("Theorem"))
+
+
+def plain_number(text: Column, s: Column, counter: Column, sections_: Column) -> Column:
+    """A plain statement's number: told nearby, else section and counter where ``sections_`` (null unless numbered by section) has a section before it, else the counter."""
+    section = section_at(sections_, s["start"])
+    return F.coalesce(nearby_number(text, s["start"], s["end"], s["label"]), F.concat(section["number"].cast("string"), F.lit("."), counter.cast("string")), counter.cast("string"))
+
+
 def section_at(sections_: Column, position: Column) -> Column:
     """The last section that starts before a position (an as-of lookup in the ordered array), or null."""
     return F.try_element_at(F.filter(sections_, lambda s: s["position"] < position), F.lit(-1))

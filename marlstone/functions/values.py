@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions import text
 
@@ -39,6 +42,26 @@ def typed(c: Column, schema: str) -> Column:
     return F.from_json(c, schema)
 
 
+@F.pandas_udf(T.StringType())
+def result_text(s: pd.Series) -> pd.Series:
+    """A function's printed result as Python would show the value that its JSON stands for; other text, and errors, as they are. Arrow batches."""
+
+    def one(t: str | None) -> str | None:
+        if not t or t.startswith("ERROR"):
+            return t
+        try:
+            return str(json.loads(t))
+        except ValueError:
+            return t
+
+    return s.map(one)
+
+
+def same_result(actual: Column, expected: Column) -> Column:
+    """``same_output`` of a function's result: JSON is written again before it is compared."""
+    return result_text(text.trimmed(actual)) == expected
+
+
 def same_output(actual: Column, expected: Column) -> Column:
     """The actual output is trimmed, the expected one is not."""
     return text.trimmed(actual) == expected

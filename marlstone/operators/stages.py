@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions import values
-from marlstone.operators.rows import with_responses
+from marlstone.functions import text, values
+from marlstone.operators.rows import dimension, with_responses
 
 #: Outcomes of a test.
 OUTCOMES = ("PASS", "FAIL", "TIMEOUT", "ERROR", "SKIP")
@@ -38,6 +38,91 @@ def keep_judged(df: DataFrame, verdict: Column, drop_on: str, keep_failed: bool)
     return df.where(F.when(failed, F.lit(keep_failed)).otherwise(F.coalesce(F.lower(verdict.cast("string")) != drop_on, F.lit(True))))
 
 
+def first_valid(df: DataFrame, prompt: Column, attempts: DataFrame, schema: str, valid: Column, tries: int = 3) -> DataFrame:
+    """``df`` with ``reply``: that of the first of ``tries`` attempts that is valid, null where none is.
+
+    ``attempts`` has (prompt_key, attempt, response); ``valid`` sees the columns response and reply.
+    """
+    read = attempts.where(F.col("attempt") <= tries).withColumn("reply", values.typed(F.col("response"), schema)).where(F.coalesce(valid, F.lit(False)))
+    first = read.groupBy("prompt_key").agg(F.min_by("reply", "attempt").alias("reply"))
+    return df.withColumn("prompt_key", F.sha2(prompt, 256)).join(first, "prompt_key", "left")
+
+
+#: Fixed value: what an item without a valid reply becomes.
+FAILED_ITEM = "ERROR"
+
+
+def cloze_items(df: DataFrame, prompt: Column, attempts: DataFrame, blanks: int, least: int = 1, most: int = 5, tries: int = 3) -> DataFrame:
+    """``df`` with cloze_question, num_blanks, error, answer1 to answerN: generated items, and ERROR rows where no attempt is valid."""
+    keys = ["question", *[f"answer{i}" for i in range(1, blanks + 1)]]
+    part = lambda k: text.trimmed(F.col(f"reply.{k}"))
+    answers = F.array(*[part(k) for k in keys[1:]])
+    valid = values.has_keys(F.col("response"), *keys) & text.cloze_is_valid(part("question"), answers, least, most)
+    got = first_valid(df, prompt, attempts, ", ".join(f"{k} string" for k in keys), valid, tries)
+    item = {"cloze_question" if k == "question" else k: F.coalesce(part(k), F.lit(FAILED_ITEM)) for k in keys}
+    return got.withColumns({**item, "num_blanks": F.lit(blanks), "error": F.when(F.col("reply").isNull(), "All retries failed")}).drop("prompt_key", "reply")
+
+
+def cloze_answers(response: Column, status: Column, blanks: int) -> Column:
+    """A model's answers to a cloze item; those of a call that ran out of time or failed are all that outcome."""
+    failed = F.when(status == "TIMEOUT", "TIMEOUT").when(response.isNull() | (status == "ERROR"), "ERROR")
+    return F.coalesce(F.when(failed.isNotNull(), F.array_repeat(failed, blanks)), text.blanks(response, blanks))
+
+
+def routed(df: DataFrame, model: str, registry: DataFrame) -> DataFrame:
+    """``df`` with ``provider`` and ``target`` (what the provider calls the model) of a small registry (model, provider, target), and ``refusal`` for models it lacks."""
+    one = dimension(registry.select(F.col("model").alias("_m"), "provider", "target").dropDuplicates(["_m"]))
+    unknown = F.concat(F.lit("Error: Unsupported model "), F.coalesce(model, F.lit("")), F.lit("."))
+    return df.join(one, F.col(model) == F.col("_m"), "left").withColumn("refusal", F.when(F.col("provider").isNull(), unknown)).drop("_m")
+
+
+def perturbed_problem(statement: Column, public: Column, private: Column, response: Column) -> tuple[Column, Column, Column]:
+    """(statement, public cases, private cases) of a rewritten problem.
+
+    A reply is JSON with problem_statement and test_cases, fenced or not. One that cannot be read is
+    the statement as it stands, with cases made by the character mapping where it was applied. Without
+    a reply all stays. The cases are cut again after as many as were public; with too few, private ones stay.
+    """
+    body = text.json_block(text.trimmed(response))
+    read = F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT")
+    mapped = F.transform(F.concat(public, private), lambda c: F.struct(text.perturbed(c["input"]).alias("input"), text.perturbed(c["output"]).alias("output"), c["testtype"].alias("testtype")))
+    none = F.array().cast(values.CASES)
+    told = F.coalesce(F.from_json(body, f"test_cases {values.CASES}")["test_cases"], none)
+    by_hand = F.when(F.contains(F.lower(statement), F.lit("abc")) & F.contains(response, F.lit("XYZ")), mapped).otherwise(none)
+    cases = F.when(response.isNull(), none).when(read, told).otherwise(by_hand)
+    n = F.size(public)
+    said = F.coalesce(F.when(read, F.try_variant_get(F.try_parse_json(body), "$.problem_statement", "string")), body)
+    head, tail = values.split_cases(cases, n, private)
+    return F.coalesce(said, statement), F.when(F.size(cases) > 0, head).otherwise(public), tail
+
+
+#: The lines of a solver's prompt.
+SOLVER_LINES = ("Solve this problem in Python:", "Start from this signature:", "Name the function: ", "Example input: ", "Example output: ", "Give the code alone.")
+
+
+def solver_prompt(statement: Column, starter: Column, entry: Column, cases: Column) -> Column:
+    """A code solver's prompt: the statement, the signature or else the function's name, and the first case where there is one."""
+    ask, signature, name, given, wanted, end = (F.lit(x) for x in SOLVER_LINES)
+    one = F.try_element_at(cases, F.lit(1))
+    how = F.when(starter != "", F.concat_ws("\n", signature, starter)).when(entry != "", F.concat(name, entry))
+    return F.concat_ws("\n", ask, statement, how, F.concat(given, one["input"]), F.concat(wanted, one["output"]), end)
+
+
+def solution(response: Column) -> Column:
+    """The code of a reply; empty where the call failed."""
+    return F.coalesce(text.code_block(response), F.lit(""))
+
+
+#: Fixed value: what a repair asks.
+ASK_REPAIR = "Repair the LaTeX of this answer and change nothing else:\n{answer}"
+
+
+def repaired(df: DataFrame, answer: str, compiles: str, responses: DataFrame) -> DataFrame:
+    """``df`` with answers that do not compile replaced by their recorded repair, trimmed; those without one stay, as do unknown ones."""
+    asked = with_responses(df, text.prompt(ASK_REPAIR, answer=F.col(answer)), responses)
+    return asked.withColumn(answer, F.when(~F.col(compiles) & F.col("response").isNotNull(), text.trimmed(F.col("response"))).otherwise(F.col(answer))).drop("prompt_key", "response")
+
+
 def call(df: DataFrame, prompt: Column, model: Callable[[list[str]], list[str | None]], tries: int = 3) -> DataFrame:
     """(prompt_key, response) from a live model, asked per Arrow batch for what has no answer yet. The caller stores it as responses."""
 

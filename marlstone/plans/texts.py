@@ -102,13 +102,23 @@ _LABELLED = rf"nullif(regexp_extract({_BODY}, '\\label\{{(.*?)\}}', 1), '')"
 _TOLD = ", ".join(f"nullif(regexp_extract({_NEAR}, '{p}', 1), '')" for p in latex.NUMBERS)
 
 
-@query(rf"""WITH {_STATEMENTS}, plain AS (SELECT st.*, full_text, {_LABELLED} AS label FROM st JOIN latex_text USING (text_row) WHERE NOT regexp_matches({_BODY}, '^\[([^\]]+)\]'))
-SELECT text_row, start, label, coalesce(CASE WHEN label IS NOT NULL AND contains(lower({_NEAR}), '\ref{{' || lower(label) || '}}') THEN nullif(regexp_extract(substr({_NEAR}, strpos(lower({_NEAR}), '\ref{{' || lower(label) || '}}') + length(label) + 6), '^[\s\n]*([0-9.]+)', 1), '') END, {_TOLD}, nullif(regexp_extract(label, '([0-9]+(?:\.[0-9]+)?)', 1), '')) AS number, md5({_CONTENT}) AS content FROM plain""")
+_NUMBERED_SECTIONS = """told AS (SELECT text_row, place, position, try_cast(nullif(regexp_extract(title, '^(\\d{1,9})[.\\s]+', 1), '') AS INTEGER) AS t FROM sec),
+numbered AS (SELECT text_row, place, position, CASE WHEN t > 0 THEN t ELSE 1 END AS number FROM told WHERE place = 1 UNION ALL SELECT t.text_row, t.place, t.position, CASE WHEN t.t > 0 THEN t.t ELSE n.number + 1 END FROM numbered n JOIN told t ON t.text_row = n.text_row AND t.place = n.place + 1)"""
+_BY_SECTION = "regexp_matches(full_text, '" + "|".join(latex.SECTION_NUMBERING) + "')"
+_NAME = r"regexp_extract(body, '^\\begin\{([a-z]+)\}', 1)"
+
+
+@query(rf"""WITH RECURSIVE {_PLACES}, {_STATEMENTS}, {_NUMBERED_SECTIONS}, every AS (SELECT *, {_NAME} AS env, row_number() OVER (PARTITION BY text_row, {_NAME} ORDER BY start) AS counter FROM st),
+plain AS (SELECT st.*, full_text, {_LABELLED} AS label, CASE WHEN {_BY_SECTION} THEN (SELECT max_by(n.number, n.position) FROM numbered n WHERE n.text_row = st.text_row AND n.position < st.start) END AS section FROM every st JOIN latex_text USING (text_row) WHERE NOT regexp_matches({_BODY}, '^\[([^\]]+)\]')),
+n AS (SELECT *, coalesce(CASE WHEN label IS NOT NULL AND contains(lower({_NEAR}), '\ref{{' || lower(label) || '}}') THEN nullif(regexp_extract(substr({_NEAR}, strpos(lower({_NEAR}), '\ref{{' || lower(label) || '}}') + length(label) + 6), '^[\s\n]*([0-9.]+)', 1), '') END, {_TOLD}, nullif(regexp_extract(label, '([0-9]+(?:\.[0-9]+)?)', 1), ''), section || '.' || counter, CAST(counter AS VARCHAR)) AS number FROM plain)
+SELECT text_row, start, label, number, CASE WHEN env = 'theorem' THEN 'Theorem' ELSE regexp_extract(full_text, '\\newtheorem\{{' || env || '\}}\{{([^}}]+)\}}', 1) END || ' ' || number AS display_label, md5({_CONTENT}) AS content FROM n""")
 def theorems_plain(spark, d):
-    """Statements without a number of their own, with the number told nearby."""
-    s = _statements(spark, d).where("number is null")
-    number = latex.nearby_number(F.col("full_text"), F.col("start"), F.col("end"), F.col("label"))
-    return s.select("text_row", "start", "label", number.alias("number"), F.md5("content").alias("content"))
+    """Statements without a number of their own, with the number told nearby or counted, and what they are called."""
+    c = F.col("full_text")
+    each = _texts(spark, d).select("text_row", "full_text", latex.statements(c).alias("all"), F.when(latex.numbered_by_section(c), latex.sections(c)).alias("sections"))
+    s = each.select("text_row", "full_text", "sections", F.explode(F.arrays_zip(F.col("all").alias("s"), latex.counters(F.col("all")).alias("counter"))).alias("x")).select("text_row", "full_text", "sections", "x.*").where("s.number is null")
+    number = latex.plain_number(c, F.col("s"), F.col("counter"), F.col("sections"))
+    return s.select("text_row", F.col("s.start").alias("start"), F.col("s.label").alias("label"), number.alias("number"), latex.display_name(c, F.col("s.env")).alias("shown"), F.md5("s.content").alias("content")).withColumn("display_label", F.concat("shown", F.lit(" "), "number")).drop("shown")
 
 
 @query(f"WITH {_STATEMENTS} SELECT text_row, start, CAST(start + length(body) AS INTEGER) AS stop FROM st")
