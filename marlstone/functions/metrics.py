@@ -78,6 +78,13 @@ def rouge_l_plain(ref: Column, hyp: Column) -> Column:
 
 
 _VOWEL = "aeiou"
+#: Suffixes of the stemmer's steps 2 to 4.
+STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate",
+    "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
 def _shape(w: str) -> str:
@@ -122,17 +129,13 @@ def porter_stem(w: str) -> str:
                 w += "e"
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    # fixed values: suffixes of steps 2 to 4
-    step2 = "ational ate tional tion enci ence anci ance izer ize abli able alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble".split()
-    step3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-    step4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
-    for table in (dict(zip(step2[::2], step2[1::2])), step3):
+    for table in (STEP_2, STEP_3):
         for suffix in sorted(table, key=len, reverse=True):
             if w.endswith(suffix):
                 if _measure(w[: -len(suffix)]) > 0:
                     w = w[: -len(suffix)] + table[suffix]
                 break
-    for suffix in sorted(step4, key=len, reverse=True):
+    for suffix in sorted(STEP_4, key=len, reverse=True):
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t")):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def processed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def dimension(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it is small; its size is counted, never assumed."""
-    return F.broadcast(df) if len(df.limit(DIMENSION_ROWS + 1).take(DIMENSION_ROWS + 1)) <= DIMENSION_ROWS else df
+    return F.broadcast(df) if df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else df
 
 
 def with_lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: Column) -> DataFrame:
@@ -86,6 +87,12 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     return df.withColumn("draw", F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string")))).orderBy("draw", key).limit(n)
 
 
+def token_guard(df: DataFrame, columns: Sequence[str], count: Callable[[Column], Column], limit: int) -> DataFrame:
+    """``df`` with ``tokens``, the sum of ``count`` over the columns (nulls have none), and ``over_limit``. ``count`` may be any tokenizer's: see ``functions.text`` and ``functions.tokens``."""
+    total = functools.reduce(lambda a, b: a + b, [count(F.coalesce(c, F.lit(""))) for c in columns])
+    return df.withColumn("tokens", total).withColumn("over_limit", F.col("tokens") > limit)
+
+
 def append(old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Old and new rows; with ``keys``, only the first row per key, old before new."""
     if keys is None:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import aggregates, filters, joins, pipeline, scans, stages, texts
+from marlstone.plans import aggregates, filters, generation, joins, pipeline, scans, stages, texts
 
-_MODULES: tuple = (scans, filters, joins, aggregates, texts, stages, pipeline)
+_MODULES: tuple = (scans, filters, joins, aggregates, texts, stages, generation, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
+from marlstone.operators import rows
 from marlstone.plans import base
 from marlstone.plans.registry import QA, RESULTS, THEOREMS, Registry, trim_sql, words_sql
 from marlstone.session import table
@@ -23,10 +24,16 @@ def nonempty_text(spark, d):
     return table(spark, d, "documents").where(text.is_nonempty(F.col("text"))).select("doc_id")
 
 
-@query(f"WITH {THEOREMS} SELECT id, unique_answer_explanation FROM th WHERE lower(coalesce(unique_answer_explanation, '')) <> 'false'")
+_VERDICT = """CASE id % 5 WHEN 0 THEN '{"single_unique_answer": "true"}' WHEN 1 THEN '{"single_unique_answer": "False"}' WHEN 2 THEN '{"single_unique_answer": false}' WHEN 3 THEN '{"explanation": "none"}' ELSE '{"single_unique' END"""
+
+
+@query(f"""WITH {THEOREMS}, v AS (SELECT id, CASE WHEN json_valid(r) THEN lower(json_extract_string(r, '$.single_unique_answer')) END AS verdict FROM (SELECT id, {_VERDICT} AS r FROM th)) SELECT id, verdict FROM v WHERE coalesce(verdict, 'false') <> 'false'""")
 def unique_answer_filter(spark, d):
-    """Statements whose judgement is not the word false."""
-    return base.theorems(spark, d).where(F.lower(F.coalesce("unique_answer_explanation", F.lit(""))) != "false").select("id", "unique_answer_explanation")
+    """Statements that the judge's reply gives a single definite answer; false as a text or a boolean, a missing verdict and an unreadable reply drop them."""
+    kinds = ['{"single_unique_answer": "true"}', '{"single_unique_answer": "False"}', '{"single_unique_answer": false}', '{"explanation": "none"}', '{"single_unique']
+    reply = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("id") % 5 + 1).cast("int"))
+    verdict = F.lower(F.try_variant_get(F.try_parse_json(reply), "$.single_unique_answer", "string"))
+    return base.theorems(spark, d).select("id", verdict.alias("verdict")).where(F.coalesce("verdict", F.lit("false")) != "false")
 
 
 @query(f"WITH {QA} SELECT qa_id FROM qa WHERE is_good_qa = 'true' AND length({trim_sql('question')}) > 0 AND length({trim_sql('answer')}) > 0")
@@ -92,9 +99,8 @@ _COUNT = f"len({words_sql('coalesce(question, chr(32))')}) + len({words_sql('coa
 
 @query(f"WITH {QA} SELECT qa_id, {_COUNT} AS tokens, {_COUNT} > 200 AS over_limit FROM qa")
 def token_limit(spark, d):
-    """Tokens (words) of question, answer and context against a limit."""
-    n = sum((text.word_count(F.coalesce(c, F.lit(""))) for c in ("answer", "context")), text.word_count(F.coalesce("question", F.lit(""))))
-    return base.qa(spark, d).select("qa_id", n.alias("tokens"), (n > 200).alias("over_limit"))
+    """Tokens (words) of question, answer and context against a limit; any count and limit can be given."""
+    return rows.token_guard(base.qa(spark, d), ["question", "answer", "context"], text.word_count, 200).select("qa_id", "tokens", "over_limit")
 
 
 @query("SELECT event_type, round(avg(CASE WHEN value > 0 THEN value END), 4) AS mean, min(CASE WHEN value > 0 THEN value END) AS low, max(CASE WHEN value > 0 THEN value END) AS high FROM events GROUP BY 1")

@@ -9,7 +9,7 @@ from marlstone.operators import accuracy, rows
 from marlstone.plans import base
 from marlstone.plans.base import MONTH_SQL, TOPICS_SQL, month_of_batch
 from marlstone.plans.registry import QA, RESULTS, Registry
-from marlstone.session import new_table_path, table
+from marlstone.session import materialise, new_table_path, table
 from marlstone.sources import files
 
 query = Registry()
@@ -155,13 +155,12 @@ def append_overwrite(spark, d):
     return spark.read.schema(q.schema).parquet(path).groupBy("paper_id").agg(F.count("*").alias("n"), F.max(F.length("context")).alias("longest"))
 
 
-@query()
+@query("SELECT text_row || '/main.tex' AS member, md5(full_text) AS digest FROM latex_text WHERE full_text IS NOT NULL")
 def archive_members(spark, d):
     """Texts packed into archives and unpacked again."""
     t = table(spark, d, "latex_text").where("full_text is not null")
-    path = new_table_path(spark, "archives")
-    files.pack(t.select(F.concat(F.col("text_row").cast("string"), F.lit("/main.tex")).alias("member"), F.col("full_text").alias("content")), path)
-    return files.archive_members(spark, path).select("member", F.md5("content").alias("digest"))
+    packed = materialise(files.pack(t.select(F.concat(F.col("text_row").cast("string"), F.lit("/main.tex")).alias("member"), F.col("full_text").alias("content"))), "archives")
+    return files.archive_members(packed).select("member", F.md5("content").alias("digest"))
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -273,12 +273,14 @@ def parse_test_cases(spark, d):
     return table(spark, d, "events").select("event_id", F.size(c).alias("n"), F.try_element_at(c, F.lit(1))["output"].alias("output"))
 
 
-@query("SELECT event_id, 1 AS public, 1 AS private FROM events")
+@query("SELECT event_id, least(event_id % 5, 2) AS public, CASE WHEN event_id % 5 > 2 THEN event_id % 5 - 2 ELSE 3 END AS private, CASE WHEN event_id % 5 > 2 THEN 'c' || (event_id % 5) ELSE 'own' END AS last FROM events")
 def split_tests(spark, d):
-    """Cases joined and cut again; with too few the private ones stay as they were."""
-    one = values.test_cases(_cases())
-    public, private = values.split_cases(F.concat(one, one), 1, one)
-    return table(spark, d, "events").select("event_id", F.size(public).alias("public"), F.size(private).alias("private"))
+    """No to four cases cut after two: the rest is private, and where there is none the three private ones stay as they were."""
+    case = lambda given: F.struct(given.alias("input"), F.lit("x").alias("output"), F.lit("stdin").alias("testtype"))
+    n = (F.col("event_id") % 5).cast("int")
+    cases = F.slice(F.transform(F.array(*[F.lit(i) for i in range(1, 5)]), lambda i: case(F.concat(F.lit("c"), i.cast("string")))), F.lit(1), n)
+    public, private = values.split_cases(cases, 2, F.array_repeat(case(F.lit("own")), 3))
+    return table(spark, d, "events").select("event_id", F.size(public).alias("public"), F.size(private).alias("private"), F.try_element_at(private, F.lit(-1))["input"].alias("last"))
 
 
 @query(f"WITH {QA} SELECT qa_id, answer AS answer1, category AS answer2, is_good_qa AS answer3 FROM qa")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import latex
 from marlstone.functions.dates import months_between
-from marlstone.session import materialise, new_table_path
+from marlstone.session import delete, exists, filesystem, materialise, names, new_table_path
 
 #: Names of main files, the best first, and extensions of other text files.
 MAIN_NAMES = ("main.tex", "paper.tex", "article.tex", "manuscript.tex")
@@ -55,6 +56,88 @@ def save_by_model(df: DataFrame, path: str) -> None:
     df.repartition("model").write.mode("overwrite").partitionBy("model").json(path)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Put ``df`` in the place of the table at ``path``, which is complete before it gets there; where the last step fails the old table is put back."""
+    spark = df.sparkSession
+    new, old = f"{path}.new", f"{path}.old"
+    delete(spark, new)
+    df.write.parquet(new)
+    fs, there = filesystem(spark, path)
+    moved = filesystem(spark, old)[1]
+    if exists(spark, path):
+        delete(spark, old)
+        fs.rename(there, moved)
+    if not fs.rename(filesystem(spark, new)[1], there):
+        if exists(spark, old):
+            fs.rename(moved, there)
+        raise OSError(f"could not put the new table at {path}")
+    delete(spark, old)
+
+
+def is_dataset(spark: SparkSession, path: str, every: bool = True) -> bool:
+    """Whether a written table is at ``path``: with ``every``, finished and with data files of rows; else any of its files."""
+    have = names(spark, path)
+    finished, data = "_SUCCESS" in have, [n for n in have if n.endswith(".parquet") or "=" in n]
+    if not every:
+        return finished or bool(data)
+    return finished and bool(data) and bool(spark.read.parquet(path).take(1))
+
+
+#: Columns that hold a problem's date, the first one there counts.
+DATE_COLUMNS = ("question_date", "date", "created_at")
+
+
+def load_problems(spark: SparkSession, path: str, first: str = "2023-05-01", last: str = "2024-02-29") -> DataFrame:
+    """Problems (JSON lines) of a range of dates, all where none is in it; the generated sample where they cannot be loaded. Unreadable dates are in the range, missing ones are not."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return sample_problems(spark)
+    told = next((c for c in DATE_COLUMNS if c in found.columns), None)
+    if told is None:
+        return found if found.columns else sample_problems(spark)
+    day = F.try_to_date(F.substring(told, 1, 10), "yyyy-MM-dd")
+    kept = found.where((F.coalesce(told, F.lit("")) != "") & (day.isNull() | day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))))
+    return kept if kept.take(1) else found
+
+
+def to_arrow(df: DataFrame) -> DataFrame:
+    """(data): the rows as whole Arrow streams, one for each batch."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], names=["data"])
+
+    return df.mapInArrow(run, "data binary")
+
+
+def from_arrow(saved: DataFrame, data: str, schema: str) -> DataFrame:
+    """The rows of Arrow files or streams, e.g. of ``binaryFile``, by the columns of ``schema``."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                raw = x.as_buffer()
+                reader = pa.ipc.open_file(raw) if raw[:6] == b"ARROW1" else pa.ipc.open_stream(raw)
+                whole = reader.read_all().select(target.names).cast(target)
+                yield from whole.to_batches()
+
+    return saved.select(data).mapInArrow(run, schema)
+
+
 def count_or_zero(spark: SparkSession, path: str) -> int:
     """Rows of a Parquet table, 0 where there is none."""
     from pyspark.errors import AnalysisException
@@ -102,39 +185,50 @@ def unpack(data: bytes) -> Iterator[tuple[str, str]]:
         return
 
 
-def pack(members: DataFrame, path: str, archives: int = 8) -> None:
-    """Write (member, content) rows as gzipped tar archives, one a partition, to a folder all tasks share."""
-    folder = path.removeprefix("file://")
+#: Bytes of content that one archive holds, about.
+ARCHIVE_BYTES = 32 << 20
+
+
+def pack(members: DataFrame) -> DataFrame:
+    """(archive, data): (member, content) rows as gzipped tar archives. Rows of bytes, so any file system that Spark writes to holds them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-        from pathlib import Path
-
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        name, n = f"{folder}/.{uuid.uuid4().hex}", 0
-        with tarfile.open(name, "w:gz") as t:
-            for f in frames:
-                for member, content in zip(f["member"], f["content"]):
-                    data = content.encode()
+        held: list[tuple[str, bytes]] = []
+        size = 0
+
+        def close() -> pd.DataFrame:
+            sink = io.BytesIO()
+            with tarfile.open(fileobj=sink, mode="w:gz") as t:
+                for member, data in held:
                     info = tarfile.TarInfo(member)
                     info.size = len(data)
                     t.addfile(info, io.BytesIO(data))
-                    n += 1
-        # the name comes from the first member, so that a repeated task replaces its archive
-        Path(name).rename(f"{folder}/{uuid.uuid5(uuid.NAMESPACE_URL, member).hex}.tar.gz") if n else Path(name).unlink()
-        yield pd.DataFrame({"n": [n]})
+            # named after its first member, so that a repeated task gives the same archive
+            return pd.DataFrame({"archive": [f"{uuid.uuid5(uuid.NAMESPACE_URL, held[0][0]).hex}.tar.gz"], "data": [sink.getvalue()]})
+
+        for f in frames:
+            for member, content in zip(f["member"], f["content"]):
+                held.append((member, content.encode()))
+                size += len(held[-1][1])
+                if size > ARCHIVE_BYTES:
+                    yield close()
+                    held.clear()
+                    size = 0
+        if held:
+            yield close()
+
+    return members.select("member", "content").repartition("member").sortWithinPartitions("member").mapInPandas(run, "archive string, data binary")
 
-    members.select("member", "content").repartition(archives, "member").sortWithinPartitions("member").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()  # one row
 
+def archive_members(archives: DataFrame, archive: str = "archive", data: str = "data") -> DataFrame:
+    """(archive, member, content) of archives given as rows of bytes; files under a path are read by ``spark.read.format("binaryFile")`` (path, content)."""
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, content) of all archives under a path, unpacked where they are read."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(p, m, t) for p, data in zip(f["path"], f["content"]) for m, t in unpack(bytes(data))]
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+            for name, packed in zip(f["archive"], f["data"]):
+                yield pd.DataFrame([(name, m, t) for m, t in unpack(bytes(packed))], columns=["archive", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content string")
+    return archives.select(F.col(archive).alias("archive"), F.col(data).alias("data")).mapInPandas(run, "archive string, member string, content string")
 
 
 def tex_members(members: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -21,26 +21,18 @@ def run_available(query) -> None:
 
 
 def unseen(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Apply ``work`` to rows whose key no earlier micro-batch had; keys are remembered even if they yield nothing.
+    """Apply ``work`` to rows whose key has not been seen, also by earlier runs; keys are remembered even if they yield nothing.
 
-    Results go to ``out/rows`` and keys to ``out/seen``. A micro-batch is written under
-    its number and overwrites itself, so one repeated after a failure changes nothing.
+    Keys seen are the stream's state, partitioned by key: a micro-batch looks at the state of its own
+    keys. Results go to ``out/rows``. A micro-batch is written under its number and overwrites itself,
+    so one repeated after a failure changes nothing.
     """
-    spark = stream.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        if number > 0:
-            seen = spark.read.option("basePath", f"{out}/seen").parquet(f"{out}/seen").where(F.col("batch") < number)
-            fresh = fresh.join(seen.select(key), key, "left_anti")
-        fresh.persist()
-        try:
-            fresh.select(key).write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
-            work(fresh).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        finally:
-            fresh.unpersist()
-
-    run_available(stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        work(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    fresh = stream.where(F.col(key).isNotNull()).dropDuplicates([key])
+    run_available(fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
