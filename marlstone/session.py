@@ -140,12 +140,6 @@ def materialise(df: DataFrame, name: str, under: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches sent to Python workers where texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table of ``folder``."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

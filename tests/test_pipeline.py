@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone import commands
 from marlstone.__main__ import main
+from marlstone.functions import latex, text
 from marlstone.plans import pipeline
 from marlstone.session import table
-from marlstone.sources import fetch
+from marlstone.sources import fetch, files
 
 
 def test_limits_are_checked():
@@ -79,3 +81,86 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "o")).count() > 0
     with pytest.raises(SystemExit):
         main(["run", "partition_counts"])
+
+
+def test_commands_from_papers_to_counts(spark, data, tmp_path, capsys):
+    """build, collate and count after each other, a second build adding nothing; evaluate; a log that is written also after an error."""
+    at = lambda name: str(tmp_path / name)
+    found = pipeline.month_statements(table(spark, data, "papers"), table(spark, data, "latex_text"))
+    key = lambda ask: F.sha2(ask, 256).alias("prompt_key")
+    found.select(key(pipeline.ask_unique()), F.lit('{"single_unique_answer": "true"}').alias("response")).write.parquet(at("r/unique.parquet"))
+    pair = F.to_json(F.struct(F.concat(F.lit("Q "), F.col("content")).alias("question"), F.lit("A").alias("answer"), F.lit("true").alias("is_good_qa")))
+    found.select(key(pipeline.ask_pair()), pair.alias("response")).write.parquet(at("r/written.parquet"))
+    spark.createDataFrame([], "prompt_key string, response string").write.parquet(at("r/trivial.parquet"))
+    ask = ["--log", at("log.txt"), "build", "--data", data, "--responses", at("r"), "--out", at("pairs")]
+    main(ask)
+    n = spark.read.parquet(at("pairs")).count()
+    assert n > 0 and "build is done" in (tmp_path / "log.txt").read_text()
+    main(ask)
+    assert spark.read.parquet(at("pairs")).count() == n
+    main(["collate", "--root", at("pairs"), "--out", at("all")])
+    main(["collate", "--root", at("pairs"), "--out", at("all")])
+    one = spark.read.parquet(at("all"))
+    assert one.count() == spark.read.parquet(at("pairs")).select("context").distinct().count()
+    capsys.readouterr()
+    main(["count", "--root", at("all"), "--limit", "20", "--tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"])
+    assert "over_limit" in capsys.readouterr().out
+    total = {t: commands.count(spark, at("all"), t, 20).where("month is null").first() for t in ("words", "estimate")}
+    assert all(r["pairs"] == one.count() and r["over_limit"] > 0 for r in total.values())
+    main(["evaluate", "--results", f"{data}/eval_results.parquet", "--by", "model,paper_domain"])
+    assert "accuracy" in capsys.readouterr().out
+    with pytest.raises(Exception):
+        main(["--log", at("bad.txt"), "count", "--root", at("none")])
+    assert "ended by" in (tmp_path / "bad.txt").read_text()
+
+
+def test_cloze_command(spark, tmp_path, capsys):
+    at = lambda name: str(tmp_path / name)
+    items = spark.createDataFrame([("l1", "T1", "2024-01-02", "some text"), ("l2", "T2", "2024-01-03", "other text")], "link string, title string, date string, section string")
+    items.write.parquet(at("items"))
+    asked = items.select("title", F.sha2(text.prompt(commands.ASK_CLOZE, title=F.col("title"), section=F.col("section")), 256).alias("prompt_key"))
+    replies = [("T1", 1, "nothing"), ("T1", 2, '{"question": "a [blank1]", "answer1": " two words"}'), ("T2", 1, '{"question": "b", "answer1": "two"}'), ("T2", 4, '{"question": "a [blank1]", "answer1": "late"}')]
+    asked.join(spark.createDataFrame(replies, "title string, attempt int, response string"), "title").select("prompt_key", "attempt", "response").write.parquet(at("attempts"))
+    main(["cloze", "--items", at("items"), "--attempts", at("attempts"), "--out", at("out"), "--blanks", "1", "--models", '{"m": {"api": "x", "cutoff": "2024-01-01"}}'])
+    got = {r["link"]: (r["cloze_question"], r["answer1"], r["error"]) for r in spark.read.parquet(at("out")).collect()}
+    assert got == {"l1": ("a [blank1]", "two words", None), "l2": ("ERROR", "ERROR", "All retries failed")}
+    for bad in (["--blanks", "21"], ["--min-words", "3", "--max-words", "2"], ["--models", '{"m": {"api": "x"}}']):
+        with pytest.raises(ValueError):
+            main(["cloze", "--items", at("items"), "--attempts", at("attempts"), "--out", at("out"), *bad])
+    with pytest.raises(ValueError):
+        main(["build", "--data", "d", "--responses", "r", "--out", "o", "--year", "2024", "--month", "13"])
+
+
+def test_replacing_and_checking_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (5, 3):
+        files.replace(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n and files.is_dataset(spark, path)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+    assert not files.is_dataset(spark, path + "-none") and not files.is_dataset(spark, path + "-none", every=False)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.json").write_text("{broken")
+    assert files.load_problems(spark, str(tmp_path / "b")).count() == 1  # a file that is there is loaded, not replaced by the sample
+
+
+def test_large_archives_are_cut(spark, monkeypatch):
+    members = spark.createDataFrame([(f"{i}.tex", "x" * 100) for i in range(40)], "member string, content string").coalesce(1)
+    monkeypatch.setattr(files, "ARCHIVE_BYTES", 500)
+    packed = files.pack(members)
+    assert files.archive_members(packed).select("member", "content").exceptAll(members).count() == 0
+
+
+def test_numbers_of_statements(spark):
+    """Told nearby, by section and counter, or by the counter alone; declared names are shown."""
+    far = "x" * 1100 + "\n"
+    body = "\\begin{thm}one\\end{thm}" + far + "\\begin{thm}[7]given\\end{thm}" + far + "\\section{A}" + far + "\\begin{thm}two\\end{thm}" + far + "\\begin{theorem}three\\end{theorem}"
+    head = "\\newtheorem{thm}{Main Theorem}\n"
+    by = "\\numberwithin{thm}{section}\n"
+    rows = [(1, head + far + body), (2, by + head + far + body)]
+    t = spark.createDataFrame(rows, "k int, t string").select("k", "t", latex.statements(F.col("t")).alias("all"), F.when(latex.numbered_by_section(F.col("t")), latex.sections(F.col("t"))).alias("sections"))
+    each = t.select("*", F.explode(F.arrays_zip(F.col("all").alias("s"), latex.counters(F.col("all")).alias("counter"))).alias("x"))
+    got = each.where("x.s.number is null").select("k", F.concat(latex.display_name(F.col("t"), F.col("x.s.env")), F.lit(" "), latex.plain_number(F.col("t"), F.col("x.s"), F.col("x.counter"), F.col("sections"))).alias("shown"), "x.s.content")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, "Main Theorem 1", "one"), (1, "Main Theorem 3", "two"), (1, "Theorem 1", "three"),
+        (2, "Main Theorem 1", "one"), (2, "Main Theorem 1.3", "two"), (2, "Theorem 1.1", "three"),
+    ]
