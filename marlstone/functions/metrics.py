@@ -33,7 +33,7 @@ def token_f1(ref: Column, hyp: Column) -> Column:
 
     def f1(t: Column) -> Column:
         r, h, both = t["r"], t["h"], F.size(F.array_intersect(t["r"], t["h"]))
-        return F.when((F.size(r) == 0) & (F.size(h) == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * both / (F.size(r) + F.size(h)))
+        return F.when(r == h, 1.0).when(both == 0, 0.0).otherwise(2.0 * both / (F.size(r) + F.size(h)))
 
     return let(F.struct(F.array_distinct(tokens(ref)).alias("r"), F.array_distinct(tokens(hyp)).alias("h")), f1)
 
@@ -72,7 +72,8 @@ def rouge_l_plain(ref: Column, hyp: Column) -> Column:
     """ROUGE-L F-measure without stemming."""
 
     def score(t: Column) -> Column:
-        return let(lcs_length(t["r"], t["h"]), lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(t["r"]) + F.size(t["h"]))))
+        unlike = let(lcs_length(t["r"], t["h"]), lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(t["r"]) + F.size(t["h"]))))
+        return F.when(t["r"] == t["h"], F.when(F.size(t["r"]) > 0, 1.0).otherwise(0.0)).otherwise(unlike)
 
     return let(F.struct(rouge_tokens(ref).alias("r"), rouge_tokens(hyp).alias("h")), score)
 
@@ -195,7 +196,9 @@ def bleu(ref: Column, hyp: Column) -> Column:
         total = brevity
         for n, weight in enumerate(BLEU_WEIGHTS, 1):
             total = total + weighted(t, n, weight)
-        return F.when(F.arrays_overlap(r, h), F.exp(total)).otherwise(0.0)
+        # of equal texts every n-gram matches, as far as there are any
+        whole = sum((F.when(F.size(h) >= n, 0.0).otherwise(weight * math.log(EPSILON)) for n, weight in enumerate(BLEU_WEIGHTS, 1)), F.lit(0.0))
+        return F.when(~F.arrays_overlap(r, h), 0.0).when(r == h, F.exp(whole)).otherwise(F.exp(total))
 
     return let(F.struct(tokens(ref).alias("r"), tokens(hyp).alias("h")), score)
 
