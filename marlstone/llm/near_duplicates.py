@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlstone.llm import units, words
@@ -121,43 +122,96 @@ def sketch(df: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     return rows.mapInArrow(_sketcher(like), SKETCH)
 
 
+def _second(sig: np.ndarray, like: Likeness, j: int, base: np.ndarray) -> np.ndarray:
+    """Hash of group B_j of each signature, on top of ``base``."""
+    with np.errstate(over="ignore"):
+        for i in range(like.rows):
+            base = base * np.uint64(0x100000001B3) + sig[:, (like.half + j) * like.rows + i].astype(np.uint64) + np.uint64(1)
+    return base
+
+
+def _alike(like: Likeness, sig: np.ndarray, key: np.ndarray, role: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """The pairs of places (x, y) whose signatures agree enough, as ordered keys."""
+    ok = (role[x] == 0) | (role[x] != role[y])
+    x, y = x[ok], y[ok]
+    for s in range(0, len(x), 1 << 17):  # bounds the compared signatures
+        p, q = x[s : s + (1 << 17)], y[s : s + (1 << 17)]
+        near = (sig[p] == sig[q]).sum(axis=1, dtype=np.int32) >= like.least_equal
+        if near.any():
+            u, v = key[p[near]], key[q[near]]
+            yield np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1)
+
+
+def _distinct_pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _candidates(like: Likeness):
-    half, rows, least = like.half, like.rows, like.least_equal
+    """Pairs of rows that share a group A_i (the unit) and, looked up here, a group B_j."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         unit, key, role = t["unit"].to_numpy(), t["id"].to_numpy(), t["role"].to_numpy()
         sig = words.fixed_bytes(t["sig"], like.hashes)
         base = words.mix(unit.view(np.uint64))
-        found = []
-        for j in range(half):
-            b = base.copy()
-            with np.errstate(over="ignore"):
-                for i in range(rows):
-                    b = b * np.uint64(0x100000001B3) + sig[:, (half + j) * rows + i].astype(np.uint64) + np.uint64(1)
+        found: list[np.ndarray] = []
+        for j in range(like.half):
+            b = _second(sig, like, j, base)
             order = np.argsort(b, kind="stable")
             for x, y in units.pairs_in_runs(b[order]):
-                x, y = order[x], order[y]
-                ok = (role[x] == 0) | (role[x] != role[y])
-                x, y = x[ok], y[ok]
-                for s in range(0, len(x), 1 << 17):  # bounds the compared signatures
-                    p, q = x[s : s + (1 << 17)], y[s : s + (1 << 17)]
-                    near = (sig[p] == sig[q]).sum(axis=1, dtype=np.int32) >= least
-                    if near.any():
-                        u, v = key[p[near]], key[q[near]]
-                        found.append(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1))
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found += _alike(like, sig, key, role, order[x], order[y])
+        yield from _distinct_pairs(found)
 
     return work
 
 
+def _table_pairs(like: Likeness):
+    """Pairs of rows that share a table's key (the unit)."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, key, role = t["unit"].to_numpy(), t["id"].to_numpy(), t["role"].to_numpy()
+        sig = words.fixed_bytes(t["sig"], like.hashes)
+        found: list[np.ndarray] = []
+        for x, y in units.pairs_in_runs(unit):
+            found += _alike(like, sig, key, role, x, y)
+        yield from _distinct_pairs(found)
+
+    return work
+
+
+def _to_tables(like: Likeness):
+    """Rows of a group A_i to the keys of the tables (A_i, B_j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = words.fixed_bytes(batch.column(2), like.hashes)
+            base = words.mix(batch.column(0).to_numpy().view(np.uint64))
+            for j in range(like.half):
+                yield pa.RecordBatch.from_arrays([pa.array(words.mix(_second(sig, like, j, base) + np.uint64(j)).view(np.int64)), batch.column(1), batch.column(2)], names=["unit", "id", "sig"])
+
+    return run
+
+
+def _found(rows: DataFrame, like: Likeness, hot: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows (unit, id, sig). Groups of more than ``hot`` rows are spread over their tables, and tables that still are over blocks."""
+    pair = "a bigint, b bigint"
+    large = materialise(rows.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("unit"), "hot-groups")
+    if not large.take(1):  # as in most tables
+        return units.each_unit(rows.withColumn("role", F.lit(0)), _candidates(like), pair)
+    small = rows.join(large, "unit", "left_anti").withColumn("role", F.lit(0))
+    spread = materialise(rows.join(large, "unit", "left_semi").select("unit", "id", "sig").mapInArrow(_to_tables(like), "unit bigint, id bigint, sig binary"), "tables")
+    return units.each_unit(small, _candidates(like), pair).unionByName(units.each_unit(units.split_hot(spread, hot), _table_pairs(like), pair))
+
+
 @dataclass
 class Duplicates:
-    """members: (key, rep), each record's class; pairs: (a, b, similarity), near representatives, a < b."""
+    """members: (key, rep), each record's class; classes: (rep, size), ``largest`` the greatest size; pairs: (a, b, similarity), near representatives, a < b."""
 
     members: DataFrame
+    classes: DataFrame
+    largest: int
     pairs: DataFrame
 
 
@@ -170,39 +224,46 @@ def near_duplicates(df: DataFrame, key: str, text: str, like: Likeness = TEXTS,
     table gives empty results. Ties do not arise: representatives are the least keys.
     """
     sketched = materialise(sketch(df, key, text, like), "sketch")
-    classes = sketched.groupBy("fp1", "fp2").agg(F.min("key").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
-    members = sketched.select("key", "fp1", "fp2").distinct().join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("key", "rep")
-    rows = classes.select(F.explode("buckets").alias("unit"), F.col("rep").alias("id"), "sig")
-    found = units.each_unit(units.split_hot(rows, hot), _candidates(like), "a bigint, b bigint").distinct()
-    sets = sketched.select("key", "elements")
+    told = Observation()
+    grouped = sketched.groupBy("fp1", "fp2").agg(F.min("key").alias("rep"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("sig", "buckets", "elements")])
+    classes = materialise(grouped.observe(told, F.coalesce(F.max("size"), F.lit(0)).alias("largest")), "classes")
+    largest = told.get["largest"]
+    members = units.join_classes(sketched.select("key", "fp1", "fp2"), classes.select("fp1", "fp2", "rep", "size"), ["fp1", "fp2"], largest).select("key", "rep").distinct()
+    found = _found(classes.select(F.explode("buckets").alias("unit"), F.col("rep").alias("id"), "sig"), like, hot).distinct()
+    sets = classes.select("rep", "elements")
     pairs = (
-        found.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
+        found.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
+        .join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
         .withColumn("both", F.size(F.array_intersect("ea", "eb")))
         .withColumn("similarity", F.col("both") / (F.size("ea") + F.size("eb") - F.col("both")))
         .where(F.col("similarity") >= like.threshold)
         .groupBy("a", "b")
         .agg(F.max("similarity").alias("similarity"))
     )
-    return Duplicates(members, materialise(pairs, "near-pairs"))
+    with ThreadPoolExecutor(2) as pool:  # two jobs that don't need each other
+        done = [pool.submit(materialise, df, name) for df, name in ((members, "members"), (pairs, "near-pairs"))]
+    return Duplicates(done[0].result(), classes.select("rep", "size"), largest, done[1].result())
 
 
-def record_pairs(found: Duplicates) -> DataFrame:
+def record_pairs(found: Duplicates, limit: int = 10_000) -> DataFrame:
     """All near pairs of records (key_a < key_b), those of equal records too.
 
     The number of rows is that of the pairs, so a class of n equal records gives
-    n * (n - 1) / 2; use ``groups`` where that is not wanted.
+    n * (n - 1) / 2; use ``groups`` where that is not wanted. A class of more than ``limit``
+    records is cut into blocks, each of which meets the class in a task of its own.
     """
     m = found.members
     a, b = m.select(F.col("rep").alias("a"), F.col("key").alias("x")), m.select(F.col("rep").alias("b"), F.col("key").alias("y"))
-    across = found.pairs.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b, F.col("a") == F.col("b")).where(F.col("x") < F.col("y")).select("x", "y")
-    return (
-        across.where(F.col("x") != F.col("y"))
-        .unionByName(within)
-        .select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
-        .distinct()
-    )
+    across = found.pairs.select("a", "b").join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    if found.largest <= limit:
+        within = a.join(b, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))
+        return across.unionByName(within).distinct()
+    several = found.classes.where("size > 1").groupBy("rep").agg(F.sum("size").alias("size"), F.ceil(F.sum("size") / limit).cast("int").alias("blocks"))
+    inside = materialise(units.join_classes(m, several, ["rep"], found.largest), "copies")
+    left = inside.select("rep", F.col("key").alias("key_a"), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    right = inside.select("rep", F.col("key").alias("key_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    within = left.join(right, ["rep", "block"]).where("key_a < key_b").select("key_a", "key_b")
+    return across.unionByName(within).distinct()
 
 
 def components(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -234,11 +295,7 @@ def components(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
 
 def groups(found: Duplicates) -> DataFrame:
     """(key, group_id, links): one row per record; its group is named by the least key, links counts near classes."""
-    roots = components(found.pairs)
-    degree = found.pairs.select(F.col("a").alias("node")).union(found.pairs.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    m = found.members.alias("m")
-    return (
-        m.join(roots, F.col("m.rep") == roots["node"], "left")
-        .join(degree.withColumnRenamed("node", "dn"), F.col("m.rep") == F.col("dn"), "left")
-        .select("key", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    roots = components(found.pairs).withColumnRenamed("node", "rep")
+    degree = found.pairs.select(F.col("a").alias("rep")).union(found.pairs.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
+    each = found.classes.groupBy("rep").agg(F.sum("size").alias("size")).join(roots, "rep", "left").join(degree, "rep", "left")
+    return units.join_classes(found.members, each, ["rep"], found.largest).select("key", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

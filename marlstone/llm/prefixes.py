@@ -193,10 +193,11 @@ def exact_duplicates(df: DataFrame, key: str, text: str, like: Likeness, hot: in
     tokens, counts = frequent_tokens(df, key, text, like)
     sets = materialise(prepared(df, key, text).mapInArrow(indexer(like, tokens, counts), SETS), "sets")
     classes = materialise(classes_of(sets), "classes")
-    members = units.join_classes(sets.select("key", "fp1", "fp2").distinct(), classes.select("fp1", "fp2", F.col("id").alias("rep"), "size"), ["fp1", "fp2"]).select("key", "rep")
+    largest = classes.agg(F.max("size")).first()[0] or 0
+    members = units.join_classes(sets.select("key", "fp1", "fp2"), classes.select("fp1", "fp2", F.col("id").alias("rep"), "size"), ["fp1", "fp2"], largest).select("key", "rep").distinct()
     # a set is at home in its own band and a guest in the next one, where guests don't pair with each other
     rows = postings(classes, like.threshold, (0, 1), F.when(F.col("away") == 1, 2).otherwise(0))
     found = units.each_unit(units.split_hot(rows, hot), matcher(like), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     own = classes.select("id", "elements")
     near = verified(found, own, own, like).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    return Duplicates(materialise(members, "members"), materialise(near, "near-pairs"))
+    return Duplicates(materialise(members, "members"), classes.select(F.col("id").alias("rep"), "size"), largest, materialise(near, "near-pairs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +61,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str) -> list[tuple[str, Duplicates]]:
-    return [
-        ("qa_pairs.question", near_duplicates(table(spark, d, "qa_pairs"), "qa_id", "question", QUESTIONS)),
-        ("latex_text.full_text", near_duplicates(table(spark, d, "latex_text"), "text_row", "full_text", PAPERS)),
-    ]
+    asked = [("qa_pairs", "qa_id", "question", QUESTIONS), ("latex_text", "text_row", "full_text", PAPERS)]
+    with ThreadPoolExecutor(2) as pool:  # two searches that don't need each other
+        jobs = [(f"{name}.{column}", pool.submit(near_duplicates, table(spark, d, name), key, column, like)) for name, key, column, like in asked]
+    return [(field, job.result()) for field, job in jobs]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

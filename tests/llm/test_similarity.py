@@ -77,6 +77,13 @@ def test_copies_are_never_paired(spark):
     assert len(got) == 3000 and {(r["group_id"], r["links"]) for r in got} == {(0, 0)}
 
 
+def test_a_large_class_is_cut_into_blocks(spark):
+    found = near_duplicates.near_duplicates(frame(spark, ["the same text of six words"] * 60 + ["the same text of six terms"] * 2), "my_id", "body", replace(BAG, half=24))
+    assert found.largest == 60
+    for limit in (10_000, 7):
+        assert near_duplicates.record_pairs(found, limit).count() == 62 * 61 // 2
+
+
 def test_empty_and_worthless_input(spark):
     for texts in ([], [None, "", "?"]):
         found = near_duplicates.near_duplicates(frame(spark, texts), "my_id", "body", BAG)
