@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import history, leaks, mixing, pairs_quality, sampling, splitting, subjects
@@ -35,6 +35,18 @@ def p1_split(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p1_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces, and whether these keep the limit and the overlap."""
+    limits = table(spark, d, "split_limits").select("field", "max_chars", "overlap_chars")
+    # a row per field
+    pieces = _pieces(spark, d).select("field", "row_key", "piece_no", "start_char", "end_char", "piece").distinct().join(F.broadcast(limits), "field")
+    before = F.lag("end_char").over(Window.partitionBy("field", "row_key").orderBy("piece_no"))  # the pieces of one text
+    p = pieces.withColumn("before", before).withColumn("own", F.expr("substring(piece, cast(coalesce(before - start_char, 0) as int) + 1)"))
+    fits = (F.length("piece") <= F.col("max_chars")) & (F.length("piece") == F.col("end_char") - F.col("start_char"))
+    joined = F.coalesce(F.col("before") - F.col("start_char") == F.col("overlap_chars"), F.col("start_char") == 0)
+    return p.groupBy("field", "row_key").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")).alias("digest"), F.bool_and(fits).alias("within_limit"), F.bool_and(joined).alias("overlap_exact"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts that had to be split, and those with a stretch that has no boundary."""
     first = _pieces(spark, d).where("piece_no = 0 and over_limit")
@@ -153,6 +165,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_split": p1_split,
+    "p1_reassembled": p1_reassembled,
     "p1_found": p1_found,
     "p2_sample": p2_sample,
     "p2_report": p2_report,
@@ -196,7 +209,34 @@ UNION ALL SELECT 'qa_pairs', x, a.b, min(o.b) FROM links JOIN first a ON a.qa_id
 _RUN = """dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM dw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
 iw AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM iw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i))"""
 
+
+
+def _groups_sql(field: str, signature: str, near: str) -> str:
+    """Groups of records: their sets as one sorted text each, near pairs between the least keys of equal sets, and what these reach."""
+    f = field[0]
+    return f"""{f}sig AS ({signature}), {f}rep AS (SELECT k, min(k) OVER (PARTITION BY s) AS rep FROM {f}sig),
+{f}link AS (SELECT DISTINCT a.rep AS x, b.rep AS y FROM (SELECT key_a, key_b FROM {near} UNION ALL SELECT key_b, key_a FROM {near}) n JOIN {f}rep a ON a.k = n.key_a JOIN {f}rep b ON b.k = n.key_b WHERE a.rep <> b.rep),
+{f}walk(x, y) AS (SELECT DISTINCT rep, rep FROM {f}rep UNION SELECT w.x, l.y FROM {f}walk w JOIN {f}link l ON l.x = w.y), {f}group AS (SELECT x, min(y) AS g FROM {f}walk GROUP BY 1), {f}degree AS (SELECT x, count(*) AS n FROM {f}link GROUP BY 1),
+{f}rows AS (SELECT '{field}' AS field, k AS record_key, g AS group_id, coalesce(n, 0) AS links FROM {f}rep JOIN {f}group g ON g.x = rep LEFT JOIN {f}degree d ON d.x = rep)"""
+
+
+_KEPT = "masks AS (SELECT unnest([" + ", ".join(str([i + 1 for i, c in enumerate(m) if c == "1"]) for m in leaks.MASKS) + f"]) AS kept, unnest(range({len(leaks.MASKS)})) AS k)"
+#: Alignments by equal words at a mask's kept places, their equal words in islands with gaps of at most two words, the best island that a mask hit.
+_LEAKS = f"""{_KEPT}, dl AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), il AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+dh AS (SELECT doc_id, i, k, array_to_string(list_select(w[i:i+11], kept), ' ') AS h FROM dl, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i), masks), ih AS (SELECT item_id, i, k, array_to_string(list_select(w[i:i+11], kept), ' ') AS h FROM il, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i), masks),
+hit AS (SELECT DISTINCT doc_id, item_id, d.i - t.i AS shift, d.i - 1 AS place FROM dh d JOIN ih t USING (k, h)), al AS (SELECT DISTINCT doc_id, item_id, shift FROM hit),
+dw AS (SELECT doc_id, i - 1 AS p, w[i] AS x FROM dl, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)), iw AS (SELECT item_id, i - 1 AS q, w[i] AS x FROM il, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+eq AS (SELECT a.*, p, CASE WHEN p - lag(p) OVER (PARTITION BY a.doc_id, a.item_id, shift ORDER BY p) <= 3 THEN 0 ELSE 1 END AS fresh FROM al a JOIN dw USING (doc_id) JOIN iw ON iw.item_id = a.item_id AND q = p - shift AND iw.x = dw.x),
+isl AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS g FROM eq), run AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, shift, g ORDER BY p) AS r FROM isl),
+runs AS (SELECT doc_id, item_id, shift, g, count(*) AS n, min(p) AS a, max(p) + 1 AS b FROM run GROUP BY doc_id, item_id, shift, g, r),
+island AS (SELECT doc_id, item_id, shift, sum(n) AS agree, max(n) AS longest, min(a) AS a, max(b) AS b FROM runs GROUP BY doc_id, item_id, shift, g),
+leak AS (SELECT * FROM island s WHERE (longest >= 12 OR (agree >= 12 AND agree >= 0.8 * (b - a))) AND EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.shift = s.shift AND h.place >= s.a AND h.place < s.b))"""
+_BAGS = "SELECT qa_id AS k, array_to_string(list_sort(regexp_extract_all(lower(question), '[a-z0-9]+')), ' ') AS s FROM q WHERE regexp_matches(lower(question), '[a-z0-9]')"
+_SETS = "SELECT text_row AS k, string_agg(x, '|' ORDER BY x) AS s FROM sh GROUP BY 1"
+
 SQL: dict[str, str] = {
+    "p1_reassembled": "SELECT DISTINCT 'latex_text.full_text' AS field, text_row AS row_key, md5(full_text) AS digest, true AS within_limit, true AS overlap_exact FROM latex_text WHERE full_text IS NOT NULL UNION SELECT 'qa_pairs.context', qa_id, md5(context), true, true FROM qa_pairs WHERE context IS NOT NULL",
+    "p3_groups": f"WITH RECURSIVE {_QUESTIONS}, {_TEXTS}, {_groups_sql('qa_pairs.question', _BAGS, 'near')}, {_groups_sql('latex_text.full_text', _SETS, 'tnear')} SELECT * FROM qrows UNION ALL SELECT * FROM lrows",
     "p1_found": rf"""WITH {_LONG} SELECT field, row_key, 'over_limit' AS case_kind FROM long UNION ALL SELECT field, row_key, 'no_boundary' FROM long WHERE list_max(list_transform(string_split_regex(t, '[ \t\n\r]'), lambda x: length(x))) > max_chars""",
     "p2_found": f"WITH {_SAMPLED} SELECT category, 'share' AS missed FROM report WHERE available < wanted UNION ALL SELECT category, 'minimum' FROM report WHERE available < minimum",
     "p2_report": f"WITH {_SAMPLED} SELECT category, available, wanted, minimum, drawn, available < wanted AS missed_share, available < minimum AS missed_minimum FROM report",
@@ -204,6 +244,7 @@ SQL: dict[str, str] = {
     "p3_found": f"WITH {_QUESTIONS}, {_TEXTS} SELECT 'qa_pairs.question' AS field, key_a, key_b FROM near UNION ALL SELECT 'latex_text.full_text', key_a, key_b FROM tnear",
     "p5_found": f"WITH {_KNOWN} SELECT DISTINCT table_name, record_key FROM known",
     "p5_by_batch": f"WITH {_KNOWN} SELECT * FROM known",
+    "p6_leaks": f"WITH {_LEAKS} SELECT doc_id, item_id, longest AS longest_run, CAST(agree AS BIGINT) AS agreeing_words, b - a AS overlap_words, a AS doc_word, a - shift AS item_word FROM leak QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY longest DESC, agree DESC, b - a DESC, a DESC, a - shift DESC) = 1",
     "p6_found": f"WITH {_RUN} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     # any size that grows with the tokens tells the same sources: characters stand in for tokens
     "p7_found": """WITH s AS (SELECT lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) AS k, sum(length(text)) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS n FROM s) SELECT m.source FROM mix_targets m LEFT JOIN s ON s.k = lower(trim(m.source)), t WHERE m.max_repeats * coalesce(s.n, 0) < m.target_share * t.n""",
