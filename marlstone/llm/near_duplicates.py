@@ -225,15 +225,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, like: Likeness = TEXTS,
     """
     sketched = materialise(sketch(df, key, text, like), "sketch")
     told = Observation()
-    grouped = sketched.groupBy("fp1", "fp2").agg(F.min("key").alias("rep"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("sig", "buckets", "elements")])
+    grouped = sketched.groupBy("fp1", "fp2").agg(F.min("key").alias("rep"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("sig", "buckets")])
     classes = materialise(grouped.observe(told, F.coalesce(F.max("size"), F.lit(0)).alias("largest")), "classes")
     largest = told.get["largest"]
     members = units.join_classes(sketched.select("key", "fp1", "fp2"), classes.select("fp1", "fp2", "rep", "size"), ["fp1", "fp2"], largest).select("key", "rep").distinct()
     found = _found(classes.select(F.explode("buckets").alias("unit"), F.col("rep").alias("id"), "sig"), like, hot).distinct()
-    sets = classes.select("rep", "elements")
+    # elements are read from the sketches, not carried through the grouping
+    sets = sketched.select("key", "elements")
     pairs = (
-        found.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
+        found.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
         .withColumn("both", F.size(F.array_intersect("ea", "eb")))
         .withColumn("similarity", F.col("both") / (F.size("ea") + F.size("eb") - F.col("both")))
         .where(F.col("similarity") >= like.threshold)
