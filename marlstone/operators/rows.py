@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from marlstone.session import materialise
 
-#: Tables up to this many rows may be broadcast as dimensions.
-DIMENSION_ROWS = 10_000
+#: Tables up to this many rows and bytes (as JSON) may be broadcast as dimensions.
+DIMENSION_ROWS, DIMENSION_BYTES = 10_000, 16 << 20
 
 
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -30,8 +30,9 @@ def processed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def dimension(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is small; its size is counted, never assumed."""
-    return F.broadcast(df) if df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else df
+    """``df`` marked for broadcast if it is small; its rows and bytes are counted, never assumed."""
+    told = df.limit(DIMENSION_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if told["n"] <= DIMENSION_ROWS and told["bytes"] <= DIMENSION_BYTES else df
 
 
 def with_lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: Column) -> DataFrame:

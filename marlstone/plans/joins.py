@@ -55,7 +55,7 @@ def response_join(spark, d):
     return rows.with_responses(base.qa(spark, d), text.prompt("Judge: {question}", question=F.col("question")), r).select("qa_id", "response")
 
 
-_SECTIONS = r"\\section\s*(?:\[.*?\])?\s*\{([^}]*)\}"
+_SECTIONS = latex.SECTION
 _PLACES = f"""cut AS (SELECT text_row, string_split_regex(full_text, '{_SECTIONS}') AS parts, regexp_extract_all(full_text, '{_SECTIONS}') AS found, regexp_extract_all(full_text, '{_SECTIONS}', 1) AS titles FROM latex_text WHERE full_text IS NOT NULL),
 sec AS (SELECT text_row, i AS place, titles[i] AS title, CAST(list_sum(list_transform(parts[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i-1], lambda p: length(p))), 0) AS INTEGER) AS position FROM cut, LATERAL (SELECT unnest(range(1, len(found) + 1)) AS i))"""
 _ENV = r"\\begin\{(?:theorem|thm)\}(?s:.*?)\\end\{(?:theorem|thm)\}"

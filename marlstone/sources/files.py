@@ -139,13 +139,8 @@ def from_arrow(saved: DataFrame, data: str, schema: str) -> DataFrame:
 
 
 def count_or_zero(spark: SparkSession, path: str) -> int:
-    """Rows of a Parquet table, 0 where there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException:
-        return 0
+    """Rows of a Parquet table, 0 where there is none; a table that cannot be read is an error."""
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
 
 
 def sample_problems(spark: SparkSession, first: str = "2023-05-01", last: str = "2024-02-01", each: int = 3) -> DataFrame:

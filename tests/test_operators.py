@@ -199,3 +199,28 @@ def test_shared_dir_is_the_sessions():
 
 def test_materialised_tables_are_in_the_shared_dir(spark):
     assert new_table_path(spark, "x").startswith(shared_dir(spark) + "/marlstone/x-")
+
+
+def test_only_small_dimensions_are_broadcast(spark, monkeypatch):
+    """By rows and by bytes."""
+
+    def hinted(df):
+        return "broadcast" in rows.dimension(df)._jdf.queryExecution().analyzed().toString().lower() or "strategy=broadcast" in rows.dimension(df)._jdf.queryExecution().logical().toString().lower()
+
+    wide = spark.range(50).selectExpr("id", "repeat('x', 1000) as t")
+    assert hinted(wide)
+    monkeypatch.setattr(rows, "DIMENSION_BYTES", 10_000)
+    assert not hinted(wide)
+    monkeypatch.setattr(rows, "DIMENSION_BYTES", 16 << 20)
+    monkeypatch.setattr(rows, "DIMENSION_ROWS", 49)
+    assert not hinted(wide)
+
+
+def test_a_shared_folder_is_asked_for():
+    """Outside a single machine there is none of our own."""
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(far)
