@@ -70,8 +70,6 @@ class _Growing:
             table.forget([*before[t], *now[t]])
         for n in sorted(self._manifests())[:-2]:
             delete(self.spark, f"{self.path}/manifests/{n:012d}.json")
-        # what the batch shuffled and broadcast is dropped once the driver has collected its handles
-        self.spark._jvm.System.gc()
 
     def _answer(self, known: DataFrame, number: int) -> DataFrame:
         path = f"{self.path}/known/batch_no={number}"
@@ -139,6 +137,8 @@ class History(_Growing):
                     "sets": pool.submit(self.tables["sets"].write, fresh.select("id", "elements", F.lit(number).alias("batch")), total["n"]),
                 }
             self._accept(number, before, {t: job.result() for t, job in added.items()})
+        # what the batch shuffled and broadcast is dropped once the driver has collected its handles
+        self.spark._jvm.System.gc()
         return answer.result()
 
     def _near(self, classes: DataFrame, before: dict[str, list[Segment]], new_postings: int, own: str) -> DataFrame:
@@ -173,7 +173,7 @@ class KnownIds(_Growing):
         before = self._before(number)
         with scratch(self.spark, "ids") as own:
             token = self.name(self.key)
-            rows = materialise(batch.select(F.col(self.record).cast("bigint").alias("record_key"), token.alias("token")).where("token is not null and record_key is not null"), "rows", own)
+            rows = batch.select(F.col(self.record).cast("bigint").alias("record_key"), token.alias("token")).where("token is not null and record_key is not null")
             ids = rows.groupBy("token").agg(F.count("*").alias("size")).withColumn("unit", F.xxhash64("token"))
             held = self.tables["ids"].lookup(ids.select("unit"), before["ids"]).drop("unit")
             told = Observation()

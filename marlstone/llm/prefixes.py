@@ -31,6 +31,8 @@ from marlstone.session import materialise, whole_words
 
 MOST_FREQUENT = 100_000
 HOT = 20_000
+#: From so many pairs of new and old rows on, a unit is compared as a block.
+DENSE = 2048
 SETS = "key bigint, fp1 bigint, fp2 bigint, n int, prefix array<bigint>, map binary, elements array<int>"
 
 
@@ -141,6 +143,10 @@ def matcher(like: Likeness):
                 turn = (side[x] < side[y]) | ((side[x] == side[y]) & (key[x] > key[y]))
                 found.append(np.stack((np.where(turn, key[y], key[x]), np.where(turn, key[x], key[y])), axis=1))
 
+        if side.any() and not (side == 0).any():
+            cross(unit, n, side, first, second, keep)
+            yield from found_pairs(found)
+            return
         long = np.zeros(len(unit), bool)
         heads = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
         for s in heads[end[heads] - heads > 64]:
@@ -165,14 +171,57 @@ def matcher(like: Likeness):
             x, y = rest[x], rest[y]
             near = (n[y] * t <= n[x] + 1e-9) & (np.bitwise_count(first[x] ^ first[y]) <= _bound(n[x], n[y], t))
             keep(x[near], y[near])
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        yield from found_pairs(found)
+
+    def cross(unit, n, side, first, second, keep) -> None:
+        """Every row of side 2 with the rows of side 1 in its unit whose sizes are near enough: never two of a side, so a unit costs its new rows times its old ones."""
+        heads = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        is_new = side == 2
+        news = np.add.reduceat(is_new, heads)
+        ends = np.append(heads[1:], len(unit))
+        olds = ends - heads - news
+        dense = news * olds >= DENSE
+        for s, e in zip(heads[dense], ends[dense]):
+            new, old = s + np.flatnonzero(is_new[s:e]), s + np.flatnonzero(~is_new[s:e])
+            size, one, two = n[old], first[old], second[old]
+            for i in range(0, len(new), 256):
+                part = new[i : i + 256]  # sizes ascend
+                lo = int(np.searchsorted(size, np.ceil(n[part[0]] * t - 1e-9)))
+                hi = int(np.searchsorted(size, np.floor(n[part[-1]] / t + 1e-9), side="right"))
+                most = np.minimum(_bound(n[part[-1]], size[lo:hi], t), 255).astype(np.uint8)
+                differ = np.bitwise_count(first[part, None] ^ one[None, lo:hi])
+                differ += np.bitwise_count(second[part, None] ^ two[None, lo:hi])
+                y, x = np.divmod(np.flatnonzero((differ <= most).ravel()), max(1, hi - lo))
+                x, y = old[x + lo], part[y]
+                keep(np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x))
+        # the small units together: each new row with its unit's old ones
+        small = np.repeat(~dense, ends - heads)
+        new, old = np.flatnonzero(is_new & small), np.flatnonzero(~is_new & small)
+        if not len(new) or not len(old):
+            return
+        rank = np.repeat(np.arange(len(heads)), ends - heads)
+        low, high = np.searchsorted(rank[old], rank[new], side="left"), np.searchsorted(rank[old], rank[new], side="right")
+        count = high - low
+        total, begin = np.cumsum(count), 0
+        while begin < len(new):
+            # a slice of about PAIRS_AT_ONCE pairs; a row with more partners stands alone
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + units.PAIRS_AT_ONCE, side="right")))
+            m = count[begin:stop]
+            y = np.repeat(new[begin:stop], m)
+            x = old[np.repeat(low[begin:stop] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(int(m.sum()))]
+            keep(np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x))
+            begin = stop
 
     return work
 
 
+def found_pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, like: Likeness) -> DataFrame:
     """(a, b, similarity, and what else ``right`` has) of the pairs whose elements, looked up in left for a and right for b, reach the threshold."""
     return (

@@ -164,6 +164,20 @@ def test_history_against_brute_force(spark, hot, part_rows):
         index.add(df, 4)
 
 
+@pytest.mark.parametrize("dense", [1, 10**9])
+def test_new_rows_meet_old_ones_only(monkeypatch, dense):
+    """All near pairs across the sides of a unit and none within one, as blocks and one by one."""
+    monkeypatch.setattr(prefixes, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    n = rng.integers(5, 15, 400).astype(np.int32)
+    unit, side, maps = rng.integers(0, 9, 400), rng.integers(1, 3, 400).astype(np.int32), rng.integers(0, 2, (400, 256)).astype(np.uint8)
+    maps[:, 10:] = 0
+    tab = pa.table({"unit": unit, "id": np.arange(400), "role": np.zeros(400, np.int32), "n": n, "side": side, "pos": np.zeros(400, np.int32), "map": pa.array([bytes(x) for x in np.packbits(maps, axis=1)], pa.binary())})
+    got = {(a, b) for batch in prefixes.matcher(BAG)(tab) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+    near = lambda i, j: min(n[i], n[j]) >= 0.7 * max(n[i], n[j]) - 1e-9 and (maps[i] != maps[j]).sum() <= np.floor((n[i] + n[j]) * 0.3 / 1.7 + 1e-9)
+    assert got == {(i, j) for i in range(400) for j in range(400) if side[i] == 2 and side[j] == 1 and unit[i] == unit[j] and near(i, j)}
+
+
 def test_history_without_batches_or_texts(spark):
     df = frame(spark, [None, "", "?"])
     index = history.History(spark, new_table_path(spark, "index"), BAG, "my_id", "body", sample=df)
