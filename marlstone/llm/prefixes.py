@@ -5,7 +5,8 @@ Elements are put into one fixed order, rare before frequent. Two sets with Jacca
 more share an element among their first ``n - ceil(t * n) + 1`` ones, and the first one
 they share is in both prefixes. So only prefixes are indexed, under the element and the
 band of the set's size (a band is so wide that partners are at most one band apart, which
-keeps sets of unlike sizes from meeting). Pairs that meet pass, without loss, a filter on
+keeps sets of unlike sizes from meeting), or under the element alone where the matcher
+cuts a unit by sizes itself (``entries``). Pairs that meet pass, without loss, a filter on
 sizes, one on the places of the shared element (what follows it bounds the overlap) and
 one on 256-bit bitmaps (which differ in at most as many bits as the sets differ in
 elements). What is left is verified on the elements.
@@ -33,6 +34,8 @@ MOST_FREQUENT = 100_000
 HOT = 20_000
 #: From so many pairs of new and old rows on, a unit is compared as a block.
 DENSE = 2048
+#: Rows of a unit whose sizes are taken as one range; rows of either side compared at once, which stay in the cache.
+RANGE_ROWS, BLOCK = 512, (128, 1024)
 SETS = "key bigint, fp1 bigint, fp2 bigint, n int, prefix array<bigint>, map binary, elements array<int>"
 
 
@@ -59,7 +62,7 @@ def frequent_tokens(df: DataFrame, key: str, text: str, like: Likeness) -> tuple
 
 
 def indexer(like: Likeness, tokens: np.ndarray, counts: np.ndarray):
-    """A mapInArrow function from (key, text) to SETS."""
+    """A mapInArrow function from (key, text) to SETS; further columns are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.bounded(batches, 1):
@@ -90,16 +93,17 @@ def indexer(like: Likeness, tokens: np.ndarray, counts: np.ndarray):
                     lists(values[order][head].view(np.int64), prefix[keep]),
                     pa.array([bytes(x) for x in maps], pa.binary()),
                     lists((values & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), size[keep]),
+                    *(c.take(pa.array(keep)) for c in batch.columns[2:]),
                 ],
-                names=["key", "fp1", "fp2", "n", "prefix", "map", "elements"],
+                names=["key", "fp1", "fp2", "n", "prefix", "map", "elements", *batch.schema.names[2:]],
             )
 
     return run
 
 
-def classes_of(sets: DataFrame) -> DataFrame:
-    """One row per distinct set: (fp1, fp2, id, size, n, prefix, map, elements); id is its least key, size its number of rows."""
-    return sets.groupBy("fp1", "fp2").agg(F.min("key").alias("id"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("n", "prefix", "map", "elements")])
+def classes_of(sets: DataFrame, *more: Column) -> DataFrame:
+    """One row per distinct set: (fp1, fp2, id, size, n, prefix, map, elements, more); id is its least key, size its number of rows."""
+    return sets.groupBy("fp1", "fp2").agg(F.min("key").alias("id"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("n", "prefix", "map", "elements")], *more)
 
 
 def band(n: Column, t: float) -> Column:
@@ -114,13 +118,21 @@ def postings(classes: DataFrame, t: float, away: tuple[int, ...] = (0,), side: C
     return p.select(F.xxhash64("token", band(F.col("n"), t) + F.col("away")).alias("unit"), "id", "n", "pos", "map", (F.lit(0) if side is None else side).cast("int").alias("side"))
 
 
+def entries(classes: DataFrame, side: Column) -> DataFrame:
+    """(unit, id, n, pos, map, side): every prefix element once, for sets of all sizes."""
+    return classes.select(F.posexplode("prefix").alias("pos", "unit"), "id", "n", "map", side.cast("int").alias("side")).select("unit", "id", "n", "pos", "map", "side")
+
+
 def _bound(nx, ny, t: float):
     """Most elements in which two sets of these sizes may differ at Jaccard t."""
     return np.floor((nx + ny) * (1 - t) / (1 + t) + 1e-9)
 
 
-def matcher(like: Likeness):
-    """Pairs (a, b) of a unit's rows that may be near. Rows of the same side, other than 0, don't pair. a is on the greater side, or the lesser id."""
+def matcher(like: Likeness, arrivals: bool = False):
+    """Pairs (a, b) of a unit's rows that may be near. Rows of the same side, other than 0, don't pair. Side 1 is an index; a is not of it, or the lesser id.
+
+    ``arrivals``: rows of all sides but 1 are new ones, to be met with the index and with each other.
+    """
     t = like.threshold
 
     def work(tab: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -130,6 +142,9 @@ def matcher(like: Likeness):
         unit, key, role, side, pos, n, maps = unit[order], key[order], role[order], side[order], pos[order], n[order].astype(np.int32), maps[order]
         first, second = np.ascontiguousarray(maps[:, 0]), np.ascontiguousarray(maps[:, 1])
         end, found = units.runs_of(unit), []
+        # bits of sets that fall together cancel out, so that folded bitmaps differ in no more places than the sets in elements
+        two = maps[:, 0] ^ maps[:, 2]
+        one = two ^ maps[:, 1] ^ maps[:, 3]
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
             ok = ((role[x] == 0) | (role[x] != role[y])) & ((side[x] == 0) | (side[x] != side[y])) & (n[y] * t <= n[x] + 1e-9)
@@ -140,11 +155,11 @@ def matcher(like: Likeness):
             ok = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int32) <= _bound(n[x], n[y], t)
             x, y = x[ok], y[ok]
             if len(x):
-                turn = (side[x] < side[y]) | ((side[x] == side[y]) & (key[x] > key[y]))
+                turn = np.where((side[x] == 1) | (side[y] == 1), side[x] == 1, key[x] > key[y])
                 found.append(np.stack((np.where(turn, key[y], key[x]), np.where(turn, key[x], key[y])), axis=1))
 
-        if side.any() and not (side == 0).any():
-            cross(unit, n, side, first, second, keep)
+        if arrivals or (side.any() and not (side == 0).any()):
+            cross(unit, n, side, role, pos, one, two, keep)
             yield from found_pairs(found)
             return
         long = np.zeros(len(unit), bool)
@@ -173,44 +188,97 @@ def matcher(like: Likeness):
             keep(x[near], y[near])
         yield from found_pairs(found)
 
-    def cross(unit, n, side, first, second, keep) -> None:
-        """Every row of side 2 with the rows of side 1 in its unit whose sizes are near enough: never two of a side, so a unit costs its new rows times its old ones."""
+    def cross(unit, n, side, role, pos, one, two, keep) -> None:
+        """New rows with the old rows of their unit and with new rows of other sides, where sizes and places allow it: never two old ones, so a unit costs its new rows times its rows."""
         heads = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        is_new = side == 2
+        is_new = side != 1
+        among = bool(len(s := side[is_new])) and bool((s == 0).any() or (s != s[0]).any())
         news = np.add.reduceat(is_new, heads)
         ends = np.append(heads[1:], len(unit))
         olds = ends - heads - news
-        dense = news * olds >= DENSE
+        dense = news * (olds + news if among else olds) >= DENSE
         for s, e in zip(heads[dense], ends[dense]):
             new, old = s + np.flatnonzero(is_new[s:e]), s + np.flatnonzero(~is_new[s:e])
-            size, one, two = n[old], first[old], second[old]
-            for i in range(0, len(new), 256):
-                part = new[i : i + 256]  # sizes ascend
-                lo = int(np.searchsorted(size, np.ceil(n[part[0]] * t - 1e-9)))
-                hi = int(np.searchsorted(size, np.floor(n[part[-1]] / t + 1e-9), side="right"))
-                most = np.minimum(_bound(n[part[-1]], size[lo:hi], t), 255).astype(np.uint8)
-                differ = np.bitwise_count(first[part, None] ^ one[None, lo:hi])
-                differ += np.bitwise_count(second[part, None] ^ two[None, lo:hi])
-                y, x = np.divmod(np.flatnonzero((differ <= most).ravel()), max(1, hi - lo))
-                x, y = old[x + lo], part[y]
-                keep(np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x))
-        # the small units together: each new row with its unit's old ones
+            parts = [(0, 0)] if not role[s:e].any() else [(1, 2), (2, 1)]
+            for mine, other in parts:
+                a = new[role[new] == mine]
+                block(a, old[role[old] == other], False, n, pos, one, two, keep)
+                if among and mine <= other:
+                    block(a, a if mine == other else new[role[new] == other], mine == other, n, pos, one, two, keep)
+        # the small units together: each new row with its unit's old ones, and with the new ones after it
         small = np.repeat(~dense, ends - heads)
+        rank = np.repeat(np.arange(len(heads)), ends - heads)
         new, old = np.flatnonzero(is_new & small), np.flatnonzero(~is_new & small)
-        if not len(new) or not len(old):
+        for others, after in ((old, False), (new, True)) if among else ((old, False),):
+            if not len(new) or not len(others):
+                continue
+            low, high = np.searchsorted(rank[others], rank[new], side="left"), np.searchsorted(rank[others], rank[new], side="right")
+            if after:
+                low = np.arange(len(new)) + 1
+            count = high - low
+            total, begin = np.cumsum(count), 0
+            while begin < len(new):
+                # a slice of about PAIRS_AT_ONCE pairs; a row with more partners stands alone
+                stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + units.PAIRS_AT_ONCE, side="right")))
+                m = count[begin:stop]
+                y = np.repeat(new[begin:stop], m)
+                x = others[np.repeat(low[begin:stop] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(int(m.sum()))]
+                keep(np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x))
+                begin = stop
+
+    def block(left, right, same: bool, n, pos, one, two, keep) -> None:
+        """Rows of left with rows of right, by ranges of sizes: of two ranges, those rows meet whose places leave enough elements for the threshold, which are the first ones by place. With ``same``, right is left and a pair is met once."""
+        if not len(left) or not len(right):
             return
-        rank = np.repeat(np.arange(len(heads)), ends - heads)
-        low, high = np.searchsorted(rank[old], rank[new], side="left"), np.searchsorted(rank[old], rank[new], side="right")
-        count = high - low
-        total, begin = np.cumsum(count), 0
-        while begin < len(new):
-            # a slice of about PAIRS_AT_ONCE pairs; a row with more partners stands alone
-            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + units.PAIRS_AT_ONCE, side="right")))
-            m = count[begin:stop]
-            y = np.repeat(new[begin:stop], m)
-            x = old[np.repeat(low[begin:stop] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(int(m.sum()))]
-            keep(np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x))
-            begin = stop
+        sizes, counts = np.unique(n[left] if same else np.concatenate((n[left], n[right])), return_counts=True)
+        _, of = np.unique((np.cumsum(counts) - counts) // RANGE_ROWS, return_inverse=True)
+        edges = np.arange(int(of[-1]) + 2)
+        bounds = np.searchsorted(of, edges)
+        low, high = sizes[bounds[:-1]], sizes[bounds[1:] - 1]
+        c = t / (1 + t)
+        room = np.empty(BLOCK[0] * BLOCK[1], np.uint64), np.empty(BLOCK[0] * BLOCK[1], np.uint8)
+
+        def ranges(rows):
+            at = of[np.searchsorted(sizes, n[rows])]
+            order = np.lexsort((pos[rows], at))
+            rows, cuts = rows[order], np.searchsorted(at[order], edges)
+            return [(r, pos[r], one[r], two[r]) for r in (rows[cuts[i] : cuts[i + 1]] for i in edges[:-1])]
+
+        mine = ranges(left)
+        others = mine if same else ranges(right)
+        for p, (rows, places, one_p, two_p) in enumerate(mine):
+            if not len(rows):
+                continue
+            for q in range(p if same else int(np.searchsorted(high, low[p] * t - 1e-9)), int(np.searchsorted(low, high[p] / t + 1e-9, side="right"))):
+                rows_q, places_q, one_q, two_q = others[q]
+                # the place of a set of size n may be n - c * (n + m) at most, for a partner of size m
+                i_end = int(np.searchsorted(places, np.floor(high[p] - c * (high[p] + low[q]) + 1e-9), side="right"))
+                j_end = int(np.searchsorted(places_q, np.floor(high[q] - c * (high[q] + low[p]) + 1e-9), side="right"))
+                most = np.uint8(min(_bound(high[p], high[q], t), 255))
+                for i in range(0, i_end, BLOCK[0]):
+                    i_to = min(i + BLOCK[0], i_end)
+                    for j in range(0, j_end, BLOCK[1]):
+                        j_to = min(j + BLOCK[1], j_end)
+                        if same and p == q and j_to <= i:
+                            continue
+                        shape = i_to - i, j_to - j
+                        bits, differ = (r[: shape[0] * shape[1]].reshape(shape) for r in room)
+                        np.bitwise_xor(one_p[i:i_to, None], one_q[None, j:j_to], out=bits)
+                        np.bitwise_count(bits, out=differ)
+                        hit = np.flatnonzero(differ <= most)
+                        if not len(hit):
+                            continue
+                        x, y = np.divmod(hit, shape[1])
+                        x, y = x + i, y + j
+                        halves = two_p[x] ^ two_q[y]
+                        near = np.bitwise_count(halves) + np.bitwise_count(halves ^ bits.ravel()[hit]) <= most
+                        if same and p == q:
+                            near &= x < y
+                        x, y = x[near], y[near]
+                        if not len(x):
+                            continue
+                        x, y = rows[x], rows_q[y]
+                        keep(np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x))
 
     return work
 
@@ -223,9 +291,9 @@ def found_pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b, similarity, and what else ``right`` has) of the pairs whose elements, looked up in left for a and right for b, reach the threshold."""
+    """(a, b, similarity, and what else ``left`` and ``right`` have) of the pairs whose elements, looked up in left for a and right for b, reach the threshold."""
     return (
-        pairs.join(left.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
+        pairs.join(left.withColumnsRenamed({"id": "a", "elements": "ea"}), "a")
         .join(right.withColumnsRenamed({"id": "b", "elements": "eb"}), "b")
         .withColumn("both", F.size(F.array_intersect("ea", "eb")))
         .withColumn("similarity", F.col("both") / (F.size("ea") + F.size("eb") - F.col("both")))

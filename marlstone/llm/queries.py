@@ -99,12 +99,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def _known(spark: SparkSession, d: str) -> DataFrame:
     """The batches in order, each against the indexes of those before."""
     papers = history.KnownIds(spark, new_table_path(spark, "paper-ids"), "id", "paper_row")
-    for number, batch in history.batches_of(table(spark, d, "papers"), "batch_no", ["paper_row", "id"]):
-        papers.add(batch, number)
+    for first, last, rows in history.runs_of(table(spark, d, "papers"), "batch_no", ["paper_row", "id"]):
+        papers.extend(rows, first, last, "batch_no")
     path, questions = new_table_path(spark, "question-index"), None
-    for number, batch in history.batches_of(table(spark, d, "qa_pairs"), "batch_no", ["qa_id", "question"], key="qa_id"):
-        questions = questions or history.History(spark, path, QUESTIONS, "qa_id", "question", sample=batch)
-        questions.add(batch, number)
+    for first, last, rows in history.runs_of(table(spark, d, "qa_pairs"), "batch_no", ["qa_id", "question"], key="qa_id"):
+        questions = questions or history.History(spark, path, QUESTIONS, "qa_id", "question", sample=rows)
+        questions.extend(rows, first, last, "batch_no")
     known = [("papers", papers)] + ([("qa_pairs", questions)] if questions else [])
     out = [index.known().select(F.lit(name).alias("table_name"), "*") for name, index in known]
     return functools.reduce(DataFrame.unionByName, out)

@@ -214,6 +214,71 @@ def test_known_ids(spark):
     assert {tuple(r) for r in index.known().collect()} == {(i, i, 0) for i in range(1, len(same))}
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_runs_of_batches_have_the_answers_of_each(spark, hot):
+    """Batches added together, the last run twice: each pair of batches counts, none within a batch; equal texts of several batches of a run too."""
+    texts = corpus(seed=9) + ["the same words in every batch of the run here"] * 5
+    rnd = random.Random(4)
+    batches = [rnd.choice([1, 2, 3, 4, 5]) for _ in texts[:-5]] + [1, 2, 3, 4, 5]
+    df = frame(spark, texts, batches)
+    index = history.History(spark, new_table_path(spark, "index"), BAG, "my_id", "body", sample=df.where("month = 1"), hot=hot)
+    ids = history.KnownIds(spark, new_table_path(spark, "ids"), "body", "my_id", name=F.col)
+    for a, b in ((1, 1), (2, 3), (4, 5), (4, 5)):
+        for x in (index, ids):
+            x.extend(df.where(F.col("month").between(a, b)), a, b, "month")
+    want, equal = {}, {}
+    for i, j in all_pairs(texts, BAG):
+        for x, y in ((i, j), (j, i)):
+            if batches[y] < batches[x]:
+                want[x] = min(want.get(x, 9), batches[y])
+    for x, t in enumerate(texts):
+        earlier = [b for u, b in zip(texts, batches) if t is not None and u == t and b < batches[x]]
+        if earlier:
+            equal[x] = min(earlier)
+    for got, right in ((index, want), (ids, equal)):
+        assert sorted(map(tuple, got.known().collect())) == sorted((k, batches[k], v) for k, v in right.items())
+        for a, b in ((3, 3), (5, 5), (3, 5)):
+            with pytest.raises(ValueError, match="comes after"):
+                got.extend(df, a, b, "month")
+
+
+def test_few_runs_for_many_batches(spark):
+    """Runs grow with what is there, so an index is not read anew for each of many batches."""
+    df = spark.range(1800).selectExpr("id as k", "cast(id % 18 as int) as b")
+    runs = history.runs_of(df, "b", ["k"])
+    assert [r[:2] for r in runs] == [(0, 0), (1, 1), (2, 3), (4, 7), (8, 15), (16, 17)]
+    assert sorted(map(tuple, runs[2][2].select("k", "batch_no").collect())) == [(i, i % 18) for i in range(1800) if i % 18 in (2, 3)]
+    assert history.runs_of(df.limit(0), "b", ["k"]) == []
+
+
+@pytest.mark.parametrize("dense, range_rows", [(1, 7), (1, 10**9), (10**9, 7)])
+@pytest.mark.parametrize("roles", [1, 3])
+def test_rows_meet_by_size_and_place(monkeypatch, dense, range_rows, roles):
+    """Old rows, rows of two new batches and of several; ranges of sizes and places lose no pair."""
+    monkeypatch.setattr(prefixes, "DENSE", dense)
+    monkeypatch.setattr(prefixes, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(prefixes, "BLOCK", (5, 8))
+    rng = np.random.default_rng(6)
+    n = rng.integers(5, 30, 400).astype(np.int32)
+    pos = (rng.random(400) * 0.3 * n).astype(np.int32)
+    unit, side, role = rng.integers(0, 5, 400), rng.integers(0, 4, 400).astype(np.int32), rng.integers(0, roles, 400).astype(np.int32)
+    role = np.where(unit < 2, role, 0).astype(np.int32)
+    if roles > 1:
+        role[unit < 2] = np.maximum(role[unit < 2], 1)
+    maps = rng.integers(0, 2, (400, 256)).astype(np.uint8)
+    maps[:, 12:] = 0
+    tab = pa.table({"unit": unit, "id": np.arange(400), "role": role, "n": n, "side": side, "pos": pos, "map": pa.array([bytes(x) for x in np.packbits(maps, axis=1)], pa.binary())})
+    got = {(a, b) for batch in prefixes.matcher(BAG, arrivals=True)(tab) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+
+    def may(i, j):
+        if i == j or unit[i] != unit[j] or (role[i] and role[i] == role[j]) or (side[i] == side[j] and side[i]) or side[i] == 1 or (side[j] != 1 and i > j):
+            return False
+        total = int(n[i] + n[j])
+        return min(n[i], n[j]) >= 0.7 * max(n[i], n[j]) - 1e-9 and min(n[i] - pos[i], n[j] - pos[j]) >= 0.7 / 1.7 * total - 1e-9 and (maps[i] != maps[j]).sum() <= np.floor(total * 0.3 / 1.7 + 1e-9)
+
+    assert got == {(i, j) for i in range(400) for j in range(400) if may(i, j)} and len(got) > 100
+
+
 def test_a_key_delivered_again_is_one_record(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "c", 1), (None, "a", 1), (2, "a", None)], "k bigint, t string, b int")
     got = {n: [tuple(r) for r in rows.collect()] for n, rows in history.batches_of(df, "b", ["k", "t"], key="k")}
