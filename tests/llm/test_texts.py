@@ -112,6 +112,22 @@ def test_a_threshold_for_each_subject(spark):
     assert got[0] >= 0.4 and got[1] <= 0.3
 
 
+def test_all_labelled_documents_count(spark):
+    """More labelled documents than any bound: the later ones, which are most, tell against a low threshold."""
+    finds = spark.range(5000).selectExpr("id as doc_id", "1 as sentences", "array(0) as sentence", "array(0) as term", "array(false) as passing").unionByName(
+        spark.range(5000, 25_000).selectExpr("id as doc_id", "1 as sentences", "array(0) as sentence", "array(if(id % 4 > 0, 0, 1)) as term", "array(false) as passing")
+    )
+    labels = spark.range(25_000).selectExpr("id as doc_id", "if(id < 5000 or id % 4 = 0, 'a', 'b') as subject", "'x' as labeller")
+    where, seen = [{0: 0.35}, {0: 0.9}], []
+    assert subjects._calibrated(finds, labels, ["a", "b"], where, np.ones(2), 0.25)[0] >= 0.4
+    assert subjects._calibrated(finds, labels, ["a", "b"], where, np.ones(2), 0.25, 5000)[0] <= 0.3
+    original = subjects._calibrated
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(subjects, "_calibrated", lambda *a: seen.append(a[6]) or original(*a))
+        subjects.subject_shares(spark.createDataFrame([(1, "The plaintiff sued.")], "doc_id bigint, text string"), labels.limit(3))
+    assert seen == [None]
+
+
 def test_rarity_has_no_bound():
     r = subjects.rarity_of(np.array([0, 1, 10, 1000, 100_000]), 100_000)
     assert r[0] == r[1] > r[2] > r[3] > 0.2 and r[4] == 0 and (subjects.rarity_of(np.zeros(3), 5) == 1).all()
